@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row spans [lo, hi) of a batch with about `limit` bytes of text each; a longer text is a span of its own."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     lo = total = 0
     for hi, size in enumerate(sizes):
         if hi > lo and total + size > limit:
