@@ -4,14 +4,12 @@ Every document of a source is wanted target / source size times: a whole part
 and a fraction. The flight phase moves the fractions along the null space of
 the balance constraints (documents and words) until all but two are 0 or 1; it
 runs in blocks of bounded size, then over what the blocks left, and so on until
-one block is left for each source. The landing phase tries all outcomes of the
-last few units and takes the best balanced one.
+one block is left for each source. There the largest open units wait; the landing
+phase tries all outcomes of these and the last two and takes the best balanced one.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WS_CLASS, Written, by_size
 
-BLOCK, FAN, SEED = 2000, 500, 20
+BLOCK, FAN, LANDING, SEED = 2000, 500, 10, 20
 UNITS = "doc_id long, sidx int, size long, block long, prob double"
 
 
@@ -84,19 +82,30 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> list[in
 
 
 def land(prob: np.ndarray, size: np.ndarray, left: list[int]) -> None:
-    """Settle the last units: of all outcomes the one whose words, then documents, are nearest to what was open."""
-    words, docs = float((prob[left] * size[left]).sum()), float(prob[left].sum())
-    best = min(itertools.product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(float(np.dot(x, size[left])) - words), abs(sum(x) - docs), x))
-    prob[left] = best
+    """Settle the last units: of all their outcomes, the one whose words and documents are nearest to what was open."""
+    if not left:
+        return
+    outcomes = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
+    words = np.abs(outcomes @ size[left] - (prob[left] * size[left]).sum()) / max(float(size[left].mean()), 1.0)
+    docs = np.abs(outcomes.sum(axis=1) - prob[left].sum())
+    prob[left] = outcomes[int((10 * words + docs).argmin())]
 
 
 def _flight(level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
         prob, size = pdf["prob"].to_numpy(copy=True), pdf["size"].to_numpy()
-        left = fly(prob, size, np.random.default_rng([SEED, level, int(pdf["sidx"].iloc[0]), int(pdf["block"].iloc[0])]))
-        if last:
-            land(prob, size, left)
+        rng = np.random.default_rng([SEED, level, int(pdf["sidx"].iloc[0]), int(pdf["block"].iloc[0])])
+        if last:  # the largest open units wait for the landing, which they alone could upset
+            openly = np.flatnonzero((prob > 0) & (prob < 1))
+            waits = openly[np.argsort(-size[openly], kind="stable")[:LANDING]]
+            rest = np.setdiff1d(openly, waits)
+            flown = prob[rest]
+            left = rest[fly(flown, size[rest], rng)]
+            prob[rest] = flown
+            land(prob, size, [*waits.tolist(), *left.tolist()])
+        else:
+            fly(prob, size, rng)
         return pdf.assign(prob=prob)[["doc_id", "sidx", "size", "block", "prob"]]
 
     return run
