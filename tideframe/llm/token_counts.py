@@ -10,7 +10,7 @@ count comes from the same memo.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered by a Python worker before it starts anew: bounds its memory, not its results.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
+#: Texts whose new words are encoded together.
+BLOCK = 128
 
+#: Letters up to U+00FF: one code point each in normal form, with a plain lower case.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]?)")
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
@@ -33,22 +37,36 @@ class PrefixCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, int] = {}
+        self.cores: dict[str, int] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Remember the counts of words that are not remembered yet.
+
+        The tokenizer lowers case and splits letters from marks, so a word of
+        plain letters with a full stop or comma has its letters' count and one.
+        """
+        new = set(words).difference(self.memo)
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = list(words)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for word, made in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[word] = len(made)
+            new = set(words)
+        if len(self.cores) + len(new) > MEMO_WORDS:
+            self.cores.clear()
+        parts = {}
+        for word in new:
+            text = word.decode()
+            hit = _PLAIN.fullmatch(text)
+            parts[word] = (hit[1].lower(), len(hit[2])) if hit else (text, 0)
+        unknown = list({core for core, _ in parts.values()}.difference(self.cores))
+        for lo in range(0, len(unknown), 20_000):
+            part = unknown[lo : lo + 20_000]
+            self.cores.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        self.memo.update((word, self.cores[core] + more) for word, (core, more) in parts.items())
 
     def word_counts(self, words: list[bytes]) -> np.ndarray:
         try:
             return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         except KeyError:
-            self.learn(set(words))
+            self.learn(words)
             return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def prefixes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +117,15 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counter = _counter(path)
         for frame in frames:
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                raw = (text or "").encode()
-                prefix = np.cumsum(counter.word_counts(raw.split()))
-                n = int(prefix[-1]) if len(prefix) else 0
-                out.append((doc, len(raw), n, n > limit, int(np.searchsorted(prefix, limit, side="right"))))
+            for lo in range(0, len(frame), BLOCK):
+                part = frame.iloc[lo : lo + BLOCK]
+                raws = [(t or "").encode() for t in part["text"]]
+                words = [raw.split() for raw in raws]
+                counter.learn({w for some in words for w in some})
+                for doc, raw, some in zip(part["doc_id"], raws, words):
+                    prefix = np.cumsum(counter.word_counts(some))
+                    n = int(prefix[-1]) if len(prefix) else 0
+                    out.append((doc, len(raw), n, n > limit, int(np.searchsorted(prefix, limit, side="right"))))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_tokens", "over_limit", "words_within"]).astype({"doc_id": "Int64"})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
