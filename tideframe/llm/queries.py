@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, line_dedup, mixing, pii, quality_model, quality_rules, token_counts
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, near_dup, pii, quality_model, quality_rules, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(*quality_rules.COLUMNS)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("rid", "doc_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_quality_rules": op3_quality_rules,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_pii": op5_pii,
         "op6_token_counts": op6_token_counts,
+        "op7_decontaminate": op7_decontaminate,
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_model": op9_quality_model,
         "op10_language_id": op10_language_id,
