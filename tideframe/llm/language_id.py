@@ -24,12 +24,12 @@ from .common import crc_mod
 #: Code points of a word that are segmented together; a longer run of letters is cut into runs of this size.
 RUN = 30
 #: Words a worker remembers before it starts anew, and words it gathers before it counts their pieces.
-MEMO_WORDS, GATHER_WORDS = 250_000, 200_000
+MEMO_WORDS, GATHER_WORDS = 400_000, 300_000
 #: Probability of a code point that no piece covers, in every language; added to each piece's count.
 UNSEEN, ADDED = 1e-8, 0.05
 
 _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % RUN)
-_B = np.uint64(0x9E3779B97F4A7C55)
+_B, _SHIFT = np.uint64(0x9E3779B97F4A7C55), np.uint64(44)
 
 
 def default_path() -> str:
@@ -122,6 +122,9 @@ class Scorer:
             if not (pieces.is_control(k) or pieces.is_unknown(k) or pieces.is_byte(k)):
                 tables.setdefault(len(text), []).append((self._hash(text), k))
         self.tables = {size: (np.array([h for h, _ in sorted(t)], np.uint64), np.array([k for _, k in sorted(t)])) for size, t in tables.items()}
+        self.flags = np.zeros(1 << 20, bool)  # which leading bits some piece has: most stretches are no piece
+        for keys, _ in self.tables.values():
+            self.flags[keys >> _SHIFT] = True
         self.longest = max(self.tables, default=1)
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.langs)))
@@ -147,8 +150,10 @@ class Scorer:
             ids = np.full(len(flat), -1)
             if n in self.tables and len(hashes):
                 keys, pieces = self.tables[n]
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                ids[: len(hashes)] = np.where((keys[at] == hashes) & (left[: len(hashes)] >= n), pieces[at], -1)
+                may = np.flatnonzero((left[: len(hashes)] >= n) & self.flags[hashes >> _SHIFT])
+                at = np.minimum(np.searchsorted(keys, hashes[may]), len(keys) - 1)
+                same = keys[at] == hashes[may]
+                ids[may[same]] = pieces[at[same]]
             probs.append(ids)
         forward = np.zeros((len(flat) + len(words), len(self.model.langs)))
         base = start[:-1] + np.arange(len(words))  # a word has one state more than code points

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WS_CLASS, Written, by_size
 
-BLOCK, FAN, LANDING, SEED = 2000, 500, 10, 20
+BLOCK, FAN, LANDING, SEED = 2000, 500, 14, 20
 UNITS = "doc_id long, sidx int, size long, block long, prob double"
 
 
