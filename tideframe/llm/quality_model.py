@@ -73,7 +73,11 @@ def features(column: pa.Array) -> np.ndarray:
     row = np.repeat(np.arange(rows), n)
     inside = ~(np.isin(_lookup[raw], (8, 9)))
     wide = _sums(inside, offsets)
-    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.zeros(0, int)
+    opens = inside & np.concatenate([[True], ~inside[:-1]]) if len(raw) else inside
+    edges = offsets[:-1][offsets[:-1] < len(raw)]
+    opens[edges] = inside[edges]
+    letters = np.concatenate([[0], np.cumsum(inside)])
+    word_size = np.diff(np.append(letters[np.flatnonzero(opens)], letters[-1])).astype(float)
     same = lambda k: np.bincount(row[k:][(words[k:] == words[:-k]) & (row[k:] == row[:-k])], minlength=rows) / some if len(words) > k else np.zeros(rows)
     distinct, most = _distinct(words, row, rows)
     pairs = (words[1:] * np.uint64(31) + words[:-1]) if len(words) > 1 else words[:0]
@@ -89,7 +93,7 @@ def features(column: pa.Array) -> np.ndarray:
     if len(raw):
         last[:-1] = raw[1:] == 10
         last[offsets[1:][offsets[1:] > 0] - 1] = True
-    spread = _sums(np.diff(np.append(starts, len(raw))) ** 2.0, np.searchsorted(starts, offsets)) / some - (size / some) ** 2 if len(starts) else np.zeros(rows)
+    spread = _sums(word_size**2, first) / some - (wide / some) ** 2
     return np.column_stack(
         [
             kinds / size[:, None],
