@@ -267,9 +267,8 @@ def _pairs_within(groups: DataFrame, similarity: float, apart: bool) -> DataFram
 
 def _pairs_with(members: DataFrame, pivots: DataFrame, similarity: float, apart: bool) -> DataFrame:
     """Each member of a large bucket with its bucket's pivots, an array `m` of (node, w, comp)."""
-    rows = members.join(pivots, "key").select("node", "w", "comp", F.explode("m").alias("p"))
-    rows = rows.where((F.col("node") != F.col("p.node")) & _close(F.col("w"), F.col("p.w"), similarity))
-    rows = rows.where("comp <> p.comp") if apart else rows
+    here = lambda p: (F.col("node") != p["node"]) & _close(F.col("w"), p["w"], similarity) & ((F.col("comp") != p["comp"]) if apart else F.lit(True))
+    rows = members.join(pivots, "key").select("node", F.explode(F.filter("m", here)).alias("p"))
     return rows.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
 
 
