@@ -103,6 +103,7 @@ class Index:
         words, first = word_hashes(raw, offsets, SEPARATES)
         self.ids = [k for k, _ in items]
         self.words = [words[first[k] : first[k + 1]] for k in range(len(items))]
+        self.sets = [set(w.tolist()) for w in self.words]
         self.flags = np.zeros(_FLAGS, bool)
         self.groups: list[Group] = []
         by_size = sorted((len(w), k) for k, w in enumerate(self.words) if len(w) >= LEAST_WORDS)
@@ -163,6 +164,8 @@ class Index:
         most = edits_allowed(len(self.words[item]))
         low = max(int(first[row]), start - most)
         high = min(int(first[row + 1]), start + len(self.words[item]) + most)
+        if len(self.sets[item].difference(words[low:high].tolist())) > most:  # each distinct word that is missing takes an edit
+            return
         edits, end = edit_distance(self.words[item], words[low:high])
         if edits <= most and (known is None or edits < known[0]):
             best[(row, item)] = (edits, low + end)
