@@ -90,7 +90,8 @@ def assortativity(edges: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(w, n): each edge with the edges that leave its ends upward."""
-    a, b, c = edges.toDF("w", "i", "j"), edges.toDF("w", "i", "k"), edges.toDF("w", "j", "k")
+    bare = edges.select("w", "i", "j")
+    a, b, c = bare, bare.toDF("w", "i", "k"), bare.toDF("w", "j", "k")
     return a.join(b, ["w", "i"]).where("j < k").join(c, ["w", "j", "k"]).groupBy("w").agg(F.count(F.lit(1)).alias("triangles"))
 
 

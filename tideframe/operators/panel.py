@@ -97,7 +97,7 @@ def thin_returns(prices: DataFrame, min_coverage: float = 0.9) -> DataFrame:
     kept = with_time(prices.join(thick, "entity", "left_semi"))
     y = F.log("price") - F.log(F.lag("price").over(in_time()))
     stepped = kept.withColumn("y", F.when(F.lag("t").over(in_time()) == F.col("t") - 1, y)).where("y IS NOT NULL")
-    return stepped.select("entity", "date", "y").join(complete_days(stepped.withColumnRenamed("y", "price")), "date", "left_semi")
+    return stepped.select("entity", "date", "y").join(complete_days(stepped.select("entity", "date", F.col("y").alias("price"))), "date", "left_semi")
 
 
 def log_returns(panel: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def gate_flags(returns: DataFrame, delta_t: int = 30, large: float = 0.5, extrem
     flags = returns.withColumn("spike", big & (F.coalesce(div(-nxt, F.col("y")), F.lit(0.0)) > reversal))
     per = flags.groupBy("entity").agg(F.bool_or("spike").alias("g2"), (F.max(F.abs("y")) >= extreme).alias("g3"), F.avg((F.col("y") == 0).cast("double")).alias("zero_share"))
     both = per.join(longest_zero_run(returns), "entity")
-    return both.select("entity", "run", (F.col("run") >= delta_t).alias("g1"), "g2", "g3", "zero_share", ~((F.col("run") >= delta_t) | F.col("g2") | F.col("g3")).alias("keep"))
+    return both.select("entity", "run", (F.col("run") >= delta_t).alias("g1"), "g2", "g3", "zero_share", (~((F.col("run") >= delta_t) | F.col("g2") | F.col("g3"))).alias("keep"))
 
 
 def gated(returns: DataFrame, **limits: float) -> DataFrame:

@@ -186,7 +186,7 @@ def sliding_event_null(scored: DataFrame, n: int, width: int) -> DataFrame:
     starts = scored.sparkSession.range(0, n - width + 1).withColumnRenamed("id", "start")
     ranked = scored.where("z IS NOT NULL").withColumn("r", average_rank("z"))
     total = ranked.agg(F.count(F.lit(1)).alias("n"))
-    hits = ranked.select("w", "r", F.explode(F.sequence(F.greatest(F.col("w") - width + 1, F.lit(0)), F.least(F.col("w"), F.lit(n - width)))).alias("start"))
+    hits = ranked.where(F.col("w") < n).select("w", "r", F.explode(F.sequence(F.greatest(F.col("w") - width + 1, F.lit(0)), F.least(F.col("w"), F.lit(n - width)))).alias("start"))
     per = hits.groupBy("start").agg(F.sum("r").alias("s"), F.count(F.lit(1)).cast("double").alias("p")).crossJoin(F.broadcast(total))
     return starts.join(per, "start", "left").select("start", div(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
