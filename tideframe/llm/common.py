@@ -84,7 +84,7 @@ def crc_mod(id_col: str, n: int) -> Column:
 # ---------------------------------------------------------------- text blocks
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row spans [lo, hi) of a batch with about `limit` bytes of text each; a longer text is a span of its own."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     lo = total = 0
