@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 START, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 
 #: Control strings of common templates (fixed values): these openings never stand unescaped inside a text.
@@ -115,7 +117,7 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     conversation is one output value, so it is gathered by its id; no more is.
     """
     parts = F.col(parts_col).cast(f"array<{PART}>") if parts_col else F.lit(None).cast(f"array<{PART}>")
-    rows = df.select(
+    rows = bounded_batches(df).select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), parts.alias("parts")).alias("m"),
     )

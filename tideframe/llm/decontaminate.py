@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_blocks, text_bytes, word_hashes
+from .common import bounded_batches, mix, text_blocks, text_bytes, word_hashes
 
 #: Edits allowed by word of an item; items of fewer words than the least are not searched for.
 EDIT_RATE, LEAST_WORDS = 0.2, 8
@@ -188,7 +188,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     items are each reported; a null id stays null. Other columns are ignored;
     an empty table on either side gives no rows. Texts are searched whole.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("t"))
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("t"))
     schema = "doc_id long, item_id long, edits long, item_words long, end_word long"
     found = None
     for index in _passes(items, item_id_col, item_text_col):
@@ -210,7 +210,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def drop_leaks(documents: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows in which no item is found, with all their columns: one pass for each ITEMS_A_PASS items, no join."""
-    low = documents.withColumn("__tf_low", F.lower(F.col(text_col).cast("string")))
+    low = bounded_batches(documents).withColumn("__tf_low", F.lower(F.col(text_col).cast("string")))
     for index in _passes(items, item_id_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import bounded_batches, crc_mod
 
 #: Code points of a word that are segmented together; a longer run of letters is cut into runs of this size.
 RUN = 30
 #: Words a worker remembers before it starts anew, and words it gathers before it counts their pieces.
-MEMO_WORDS, GATHER_WORDS = 400_000, 300_000
+MEMO_WORDS, GATHER_WORDS = 250_000, 150_000
 #: Probability of a code point that no piece covers, in every language; added to each piece's count.
 UNSEEN, ADDED = 1e-8, 0.05
 
@@ -85,7 +85,7 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "piece": at, "n": total[at]})
 
-    rows = documents.where(F.col(lang_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(documents).where(F.col(lang_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInPandas(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     return Model.of(found, path)
 
@@ -231,7 +231,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang_pred": preds, "score": scores})
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, by_size, fold, mix, row_key, text_blocks, text_bytes, word_hashes
+from .common import Written, bounded_batches, by_size, fold, mix, row_key, text_blocks, text_bytes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: How far idf moves a weight: small, so that a pair near 0.8 by counts of shingles is near 0.8 by weights too.
@@ -303,7 +303,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     negative number made from the text. Other columns are ignored; an empty
     table gives no rows. Long texts are read whole.
     """
-    docs = df.select(row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("t"))
+    docs = bounded_batches(df).select(row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("t"))
     idf = word_idf(df, text_col)
     rows = Written(sketch(docs, idf), "sketch").df
     worded = rows.where("bands IS NOT NULL")

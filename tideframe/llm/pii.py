@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "login_url")
 
@@ -153,7 +155,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 out.append((doc, *(len(found[k]) for k in BASE), base, join_spans(found, KINDS), sum(map(len, found.values()))))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, SCHEMA)
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, SCHEMA)
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -163,4 +165,4 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(redact)
 
-    return df.withColumn(text_col, run(F.col(text_col).cast("string")))
+    return bounded_batches(df).withColumn(text_col, run(F.col(text_col).cast("string")))

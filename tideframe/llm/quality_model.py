@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_blocks, text_bytes, word_hashes
+from .common import bounded_batches, crc_mod, text_blocks, text_bytes, word_hashes
 
 #: Labelled rows learned from at most, by the order of a hash of their ids; a document's label is the least of its rows.
 SAMPLE = 20_000
@@ -196,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     lab = labels.select(F.col("doc_id").cast("long").alias("__tf_id"), F.col("quality").cast("int").alias("__tf_y")).where("__tf_id IS NOT NULL AND __tf_y IS NOT NULL")
     lab = lab.where(crc_mod("__tf_id", 5) != 0).groupBy("__tf_id").agg(F.min("__tf_y").alias("__tf_y"))
     lab = lab.orderBy(F.xxhash64("__tf_id"), "__tf_id").limit(sample)
-    docs = documents.select(F.col(id_col).cast("long").alias("__tf_id"), F.col(text_col).cast("string").alias("__tf_t"))
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("__tf_id"), F.col(text_col).cast("string").alias("__tf_t"))
     rows = docs.join(F.broadcast(lab), "__tf_id").select("__tf_id", "__tf_y", "__tf_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def score(documents: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
                 made = trees.scores(features(part.column("t")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Words remembered by a Python worker before it starts anew: bounds its memory, not its results.
 MEMO_WORDS = 700_000
 #: Texts whose new words are encoded together.
@@ -128,7 +130,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append((doc, len(raw), n, n > limit, int(np.searchsorted(prefix, limit, side="right"))))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_tokens", "over_limit", "words_within"]).astype({"doc_id": "Int64"})
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, words_within long")
 
 
@@ -142,5 +144,5 @@ def prefix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = [counter.prefixes(t or "") for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ends": [e.tolist() for e, _ in made], "tokens": [c.tolist() for _, c in made]})
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, ends array<long>, tokens array<long>")
