@@ -97,7 +97,8 @@ def learn_laplacian(s: np.ndarray, beta: float = 1.0, eta: float = 0.0, v: np.nd
 def k_component(s: np.ndarray, k: int = 3, eta: float = 300.0, rho: float = 100.0, rounds: int = 50, tol: float = 1e-4) -> np.ndarray:
     """Alternate the k least eigenvectors and the degree-controlled Laplacian until it stops moving."""
     p = len(s)
-    lap, w = np.eye(p) - np.ones((p, p)) / p, None
+    w = learn_laplacian(s, beta=0.0, rho=rho)
+    lap = laplacian(w, p)
     for _ in range(rounds):
         v = np.linalg.eigh(lap)[1][:, :k]
         w = learn_laplacian(s, beta=0.0, eta=eta, v=v, rho=rho, start=w)
