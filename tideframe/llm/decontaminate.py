@@ -99,10 +99,13 @@ class Index:
     """What every task needs of the items: a few times their text, at most ITEMS_A_PASS of them."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        raw, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
+        same: dict[str, list[int]] = {}
+        for key, text in items:
+            same.setdefault(text, []).append(key)
+        raw, offsets = text_bytes(pa.array(list(same), pa.string()))
         words, first = word_hashes(raw, offsets, SEPARATES)
-        self.ids = [k for k, _ in items]
-        self.words = [words[first[k] : first[k + 1]] for k in range(len(items))]
+        self.ids = list(same.values())  # equal items are searched for once
+        self.words = [words[first[k] : first[k + 1]] for k in range(len(same))]
         self.sets = [set(w.tolist()) for w in self.words]
         self.flags = np.zeros(_FLAGS, bool)
         self.groups: list[Group] = []
@@ -198,10 +201,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 ids = batch.column("doc_id").to_pylist()
                 for lo, hi in text_blocks(batch, "t"):
                     words, first = word_hashes(*text_bytes(batch.column("t").slice(lo, hi - lo)), SEPARATES)
-                    hits = index.search(words, first)
+                    hits = [(ids[lo + r], key, d, len(index.words[i]), e - int(first[r])) for r, i, d, e in index.search(words, first) for key in index.ids[i]]
                     if hits:
-                        columns = [[ids[lo + r] for r, *_ in hits], [index.ids[i] for _, i, *_ in hits], [d for *_, d, _ in hits], [len(index.words[i]) for _, i, *_ in hits], [e - int(first[r]) for r, *_, e in hits]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "item_words", "end_word"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits)], ["doc_id", "item_id", "edits", "item_words", "end_word"])
 
         made = docs.mapInArrow(run, schema)
         found = made if found is None else found.unionByName(made)
