@@ -94,6 +94,17 @@ def learn_laplacian(s: np.ndarray, beta: float = 1.0, eta: float = 0.0, v: np.nd
     return w
 
 
+def sgl(s: np.ndarray, beta: float = 10.0) -> np.ndarray:
+    """The plain sparse Laplacian, without degree control."""
+    return learn_laplacian(s, beta=beta)
+
+
+def sample_gmrf(lap: np.ndarray, n: int, eps: float = 0.01, seed: int = 42) -> np.ndarray:
+    """Rows drawn from the Gaussian field whose precision is the Laplacian plus eps on the diagonal."""
+    p = len(lap)
+    return np.random.default_rng(seed).multivariate_normal(np.zeros(p), np.linalg.inv(lap + eps * np.eye(p)), n)
+
+
 def k_component(s: np.ndarray, k: int = 3, eta: float = 300.0, rho: float = 100.0, rounds: int = 50, tol: float = 1e-4) -> np.ndarray:
     """Alternate the k least eigenvectors and the degree-controlled Laplacian until it stops moving."""
     p = len(s)
@@ -371,3 +382,14 @@ def switching_series(sequence: list[int], length: int, n: int, w: int, seed: int
             rows.append(gain @ before + root @ rng.standard_normal(n))
             labels.append(c)
     return np.array(rows[w - 1 :]), np.array(labels)
+
+
+#: Baselines by name: each is f(rows, k, seed) -> labels.
+CLUSTERERS = {
+    "kmeans": kmeans,
+    "mixture": mixture,
+    "spherical_mixture": lambda x, k, seed: mixture(x, k, seed, spherical=True),
+    "neural_gas": neural_gas,
+    "dtw": lambda x, k, seed, dims=1: dtw_kmeans(x, k, dims, seed),
+    "soft_dtw": lambda x, k, seed, dims=1: dtw_kmeans(x, k, dims, seed, gamma=1.0),
+}

@@ -265,3 +265,23 @@ def correlation_spectrum(c: np.ndarray, t: int) -> dict[str, float]:
     p = np.maximum(lam, 0) / max(float(np.maximum(lam, 0).sum()), EPS)
     p = p[p > 0]
     return {"top_share": float(lam[-1] / len(c)), "n_above_mp": float((lam[:-1] > marchenko_pastur(len(c), t)[1]).sum()), "corr_entropy": float(np.exp(-(p * np.log(p)).sum()))}
+
+
+def binary_spectra(a: np.ndarray) -> dict[str, float]:
+    """Laplacian and modularity spectra of an unweighted graph, of the whole and of its largest component."""
+
+    def one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = x.astype(float)
+        deg = w.sum(axis=1)
+        return np.linalg.eigvalsh(np.diag(deg) - w), np.linalg.eigvalsh(w - np.outer(deg, deg) / max(deg.sum(), EPS))
+
+    label = components(a)
+    big = np.flatnonzero(label == np.bincount(label).argmax())
+    lam, mu = one(a)
+    inner = a[np.ix_(big, big)]
+    blam, bmu = one(inner)
+    return {
+        "lam2": float(lam[1]), "max_gap": float(np.diff(lam[1:]).max()) if len(lam) > 2 else 0.0, "lam_max": float(lam[-1]), "n_zero": float((lam < 1e-8).sum()),
+        "mu1": float(mu[-1]), "gap12": float(mu[-1] - mu[-2]), "n_pos": float((mu > 1e-9).sum()), "mu_min": float(mu[0]), "trace_pos": float(mu[mu > 0].sum()),
+        "lcc_lam2": float(blam[1]) if len(big) > 1 else 0.0, "lcc_mu1": float(bmu[-1]), "lcc_frac": len(big) / len(a), "lcc_degree": float(inner.sum() / len(big)),
+    }

@@ -66,14 +66,25 @@ def mean_correlation(returns: DataFrame, delta_t: int) -> DataFrame:
 
 
 def network_summary(returns: DataFrame, delta_t: int, share: float) -> DataFrame:
-    """One row a window: threshold, kept weights, isolated nodes, pairs below minus the threshold."""
+    """One row a window: threshold, kept weights, isolated nodes, pairs below minus the threshold, mean correlation.
+
+    Correlations are ranked once; both aggregates below read that one exchange by window.
+    """
     n = returns.select("entity").distinct().count()
-    corr = window_correlation(returns, delta_t)
-    edges = top_edges(corr, edge_budget(n, share))
-    kept = edges.groupBy("w").agg(F.min("rho").alias("tau"), F.avg("rho").alias("mean_weight"), F.max("rho").alias("max_weight"), F.count(F.lit(1)).alias("n_edges"))
-    nodes = degrees(edges).groupBy("w").agg((n - F.count(F.lit(1))).alias("n_isolated"), F.max("degree").alias("max_degree"))
-    below = corr.join(kept.select("w", "tau"), "w").groupBy("w").agg(F.count_if(F.col("rho") < -F.col("tau")).alias("n_below"))
-    return kept.join(nodes, "w").join(below, "w").join(mean_correlation(returns, delta_t), "w")
+    by_w = Window.partitionBy("w")
+    kept = F.col("r") <= edge_budget(n, share)
+    ranked = window_correlation(returns, delta_t).withColumn("r", F.row_number().over(by_w.orderBy(F.col("rho").desc(), "i", "j")))
+    ranked = ranked.withColumn("tau", F.min(F.when(kept, F.col("rho"))).over(by_w))
+    weights = ranked.groupBy("w").agg(
+        F.min("tau").alias("tau"),
+        F.avg(F.when(kept, F.col("rho"))).alias("mean_weight"),
+        F.max("rho").alias("max_weight"),
+        F.count_if(kept).alias("n_edges"),
+        F.count_if(F.col("rho") < -F.col("tau")).alias("n_below"),
+        F.avg("rho").alias("mean_corr"),
+    )
+    nodes = degrees(ranked.where(kept)).groupBy("w").agg((n - F.count(F.lit(1))).alias("n_isolated"), F.max("degree").alias("max_degree"))
+    return weights.join(nodes, "w")
 
 
 STAMPS = {"t1": 0.0, "midpoint": 0.5, "t2": 1.0}

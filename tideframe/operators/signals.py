@@ -201,3 +201,38 @@ def stratified_bootstrap(scored: DataFrame, n_boot: int, seed: int = 0) -> DataF
     a, c = (auc(rows, ["b"], s).select("b", F.col("auc").alias(f"auc_{s}")) for s in ("x1", "x2"))
     both = a.join(c, "b").withColumn("d", F.col("auc_x1") - F.col("auc_x2"))
     return both.agg(F.avg("auc_x1").alias("auc_a"), F.avg("auc_x2").alias("auc_b"), F.avg("d").alias("d_auc"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+
+
+# ---------------------------------------------------------------- small series helpers
+
+
+def investable(signal: DataFrame, end: str) -> DataFrame:
+    """Rows whose next day, on which one would invest, is not after the end."""
+    return signal.withColumn("__next", F.lead("stamp").over(Window.orderBy("w"))).where(F.col("__next") <= F.to_date(F.lit(end))).drop("__next")
+
+
+def subsample(rows: DataFrame, cap: int, seed: int = 0, key: str = "w") -> DataFrame:
+    """`cap` rows in a repeatable random order, returned in their own order."""
+    return rows.orderBy(lcg(F.lit(seed), F.col(key)), key).limit(cap).orderBy(key)
+
+
+def varying(long: DataFrame, least: float = 1e-12) -> DataFrame:
+    """Series of (name, w, v) that are not constant."""
+    kept = long.groupBy("name").agg(F.stddev_pop("v").alias("s")).where(F.col("s") >= least)
+    return long.join(F.broadcast(kept.select("name")), "name", "left_semi")
+
+
+def direction(signal: DataFrame, events: DataFrame, before: int = 60) -> DataFrame:
+    """(name, inside, outside, ahead): means of x inside the band, outside it, and over the last rows before it."""
+    rows = signal.crossJoin(F.broadcast(events.select("name", "start", "end")))
+    inside = F.col("stamp").between(F.col("start"), F.col("end"))
+    place = F.row_number().over(Window.partitionBy("name", F.col("stamp") < F.col("start")).orderBy(F.col("stamp").desc()))
+    ranked = rows.withColumn("k", place)
+    return ranked.groupBy("name").agg(F.avg(F.when(inside, F.col("x"))).alias("inside"), F.avg(F.when(~inside, F.col("x"))).alias("outside"), F.avg(F.when((F.col("stamp") < F.col("start")) & (F.col("k") <= before), F.col("x"))).alias("ahead"))
+
+
+def detector_table(signals_long: DataFrame, events: DataFrame, baseline: int) -> DataFrame:
+    """(name, tier, auc, n, n_pos) of (name, w, stamp, x): every signal's prior-only z against sharp and any events."""
+    z = trailing_z(signals_long, baseline, ["name"]).withColumn("z", F.round("z", 9))  # equal scores tie, whatever their last bits
+    rows = event_mask(z, events, "sharp").withColumn("tier", F.lit("sharp")).unionByName(event_mask(z, events).withColumn("tier", F.lit("any")))
+    return auc(rows, ["name", "tier"])

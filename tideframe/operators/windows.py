@@ -144,3 +144,17 @@ def segment(series: DataFrame, k: int, n: int, w: int, lam: float, beta: float,
     made = series.crossJoin(F.broadcast(tries)).groupBy("series", "restart").applyInPandas(run, "series string, restart int, t long, label int, cost double")
     best = made.groupBy("series").agg(F.min(F.struct("cost", "restart")).alias("b")).select("series", F.col("b.restart").alias("restart"))
     return made.join(best, ["series", "restart"]).select("series", "t", "label", "cost")
+
+
+BINARY = tuple(kernels.binary_spectra(~np.eye(3, dtype=bool)))
+
+
+def binary_spectra(edges: DataFrame, n: int) -> DataFrame:
+    """(w, scalars, residual): residual is the component's mean degree less its Fiedler value and first modularity eigenvalue."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = kernels.binary_spectra(kernels.adjacency(n, *_ends(pdf)))
+        return pd.DataFrame([{"w": pdf["w"].iloc[0], **made}])
+
+    rows = edges.groupBy("w").applyInPandas(run, "w long, " + ", ".join(f"{m} double" for m in BINARY))
+    return rows.withColumn("residual", F.col("lcc_degree") - F.col("lcc_lam2") - F.col("lcc_mu1"))

@@ -254,3 +254,127 @@ def clustered_embeddings(spark, sf):
     cols = [f"x{k}" for k in range(8)]
     rows = [learning.cluster(e, cols, 10, 0, m, 3).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(m)) for m in ("kmeans", "mixture")]
     return rows[0].unionByName(rows[1])
+
+
+# ---------------------------------------------------------------- more tables
+
+
+SIG = f"{o.DAILY}, {o.EV}, sg AS (SELECT name AS sn, w, stamp, v AS val FROM (SELECT w, stamp, x, c, v AS vv FROM daily) UNPIVOT (v FOR name IN (x, c, vv)))"
+
+
+def _signals(spark, sf):
+    d = tb.daily(spark, sf).select("w", "stamp", "x", "c", F.col("v").alias("vv"))
+    return d.unpivot(["w", "stamp"], ["x", "c", "vv"], "name", "v")
+
+
+@query("name:s tier:s auc:f n:i n_pos:i", f"""{SIG}, z AS (SELECT sn, w, stamp, round(CASE WHEN count(val) OVER p >= 30 THEN (val - avg(val) OVER p) / nullif(stddev_samp(val) OVER p, 0) END, 9) AS zz FROM sg WINDOW p AS (PARTITION BY sn ORDER BY w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+l AS (SELECT sn, w, zz, t.tier, (EXISTS (SELECT 1 FROM ev WHERE stamp BETWEEN start AND fin AND (t.tier = 'any' OR ev.tier = 'sharp')))::INT AS label FROM z, (VALUES ('any'), ('sharp')) t(tier))
+@@SELECT sn AS name, tier, (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc, count(*) AS n, sum(label) AS n_pos FROM {o.ranked('l', 'zz', 'sn, tier')} GROUP BY ALL""")
+def detector_table(spark, sf):
+    return signals.detector_table(_signals(spark, sf).withColumnRenamed("v", "x"), tb.events(spark), 60)
+
+
+@query("name:s inside:f outside:f ahead:f", f"""{o.DAILY}, {o.EV}, r AS (SELECT name, x, stamp, start, fin, row_number() OVER (PARTITION BY name, stamp < start ORDER BY stamp DESC) AS k FROM daily, ev)
+@@SELECT name, avg(x) FILTER (stamp BETWEEN start AND fin) AS inside, avg(x) FILTER (NOT stamp BETWEEN start AND fin) AS outside, avg(x) FILTER (stamp < start AND k <= 60) AS ahead FROM r GROUP BY 1""")
+def signal_direction(spark, sf):
+    return signals.direction(tb.daily(spark, sf), tb.events(spark))
+
+
+@query("name:s low:d high:d", f"{SIG}@@SELECT sn AS name, arg_min(stamp, (val, w)) AS low, arg_max(stamp, (val, -w)) AS high FROM sg GROUP BY 1")
+def extreme_dates(spark, sf):
+    return _signals(spark, sf).groupBy("name").agg(F.min_by("stamp", F.struct("v", "w")).alias("low"), F.max_by("stamp", F.struct("v", -F.col("w"))).alias("high"))
+
+
+@query("year:i n:i share:f median_move:f", f"{o.DAILY}, d AS (SELECT year(stamp) AS year, x, v / c AS y, abs(x - lag(x) OVER (ORDER BY w)) AS m, c - lag(c) OVER (ORDER BY w) AS dc FROM daily)@@SELECT year, count(*) FILTER (dc < 0) AS n, avg((dc < 0)::INT) AS share, median(m) AS median_move FROM d WHERE dc IS NOT NULL GROUP BY 1")
+def violations_by_year(spark, sf):
+    """How often an ordering is broken, by year, and the median move."""
+    step = Window.orderBy("w")
+    d = tb.daily(spark, sf).select(F.year("stamp").alias("year"), F.abs(F.col("x") - F.lag("x").over(step)).alias("m"), (F.col("c") - F.lag("c").over(step)).alias("dc")).where("dc IS NOT NULL")
+    return d.groupBy("year").agg(F.count_if(F.col("dc") < 0).alias("n"), F.avg((F.col("dc") < 0).cast("int")).alias("share"), F.percentile("m", F.lit(0.5)).alias("median_move"))
+
+
+@query("w:i i:i j:i rho:f", f"{o.EDGES}@@SELECT w, i, j, rho FROM edges ORDER BY round(rho, 9) DESC, w, i, j LIMIT 200")
+def strongest_edges(spark, sf):
+    return tb.edges_of(spark, sf)[0].orderBy(F.round("rho", 9).desc(), "w", "i", "j").limit(200)
+
+
+@query("w:i replicate:i seed:i", f"@@SELECT w, r AS replicate, 42 * 1000003 + w * 131 + r AS seed FROM range(69) a(w), range(10) b(r)")
+def null_seeds(spark, sf):
+    return spark.range(69).withColumnRenamed("id", "w").crossJoin(spark.range(10).withColumnRenamed("id", "replicate")).withColumn("seed", F.lit(42 * 1_000_003) + F.col("w") * 131 + F.col("replicate"))
+
+
+@query("w:i stamp:d x:f", f"{o.DAILY}@@SELECT w, stamp, x FROM (SELECT *, lead(stamp) OVER (ORDER BY w) AS nx FROM daily) WHERE nx <= DATE '1999-12-31'")
+def investable_signals(spark, sf):
+    return signals.investable(tb.daily(spark, sf), "1999-12-31")
+
+
+@query("w:i x:f", f"{o.DAILY}@@SELECT w, x FROM (SELECT w, x FROM daily ORDER BY {lcg_sql('11', 'w')}, w LIMIT 300)")
+def subsampled_series(spark, sf):
+    """The feature here is the draw: 300 rows in a repeatable random order."""
+    return signals.subsample(tb.daily(spark, sf), 300, 11)
+
+
+@query("name:s n:i", f"{SIG}, s2 AS (SELECT sn, w, val FROM sg UNION ALL SELECT 'flat', w, 1.0 FROM daily)@@SELECT sn AS name, count(*) AS n FROM s2 GROUP BY 1 HAVING stddev_pop(val) >= 1e-12")
+def varying_signals(spark, sf):
+    rows = _signals(spark, sf).select("name", "w", "v")
+    flat = tb.daily(spark, sf).select(F.lit("flat").alias("name"), "w", F.lit(1.0).alias("v"))
+    return signals.varying(rows.unionByName(flat)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("shift:i w:i x:f", f"{o.DAILY}@@SELECT s AS shift, (w + s) % 50 AS w, x FROM daily, range(50) r(s) WHERE w < 50")
+def circular_shifts(spark, sf):
+    head = tb.daily(spark, sf).where("w < 50")
+    return head.crossJoin(F.broadcast(spark.range(50).withColumnRenamed("id", "shift"))).select("shift", ((F.col("w") + F.col("shift")) % 50).alias("w"), "x")
+
+
+@query("w:i " + " ".join(f"{m}:f" for m in windows.BINARY) + " residual:f")
+def binary_spectra(spark, sf):
+    edges, n = tb.edges_of(spark, sf)
+    return windows.binary_spectra(edges, n)
+
+
+@query("w:i n_zero:i", "RECURSIVE " + f"{o.EDGES}, bfs AS (SELECT DISTINCT w, i AS s, i AS v, 0 AS d FROM num, (SELECT DISTINCT w FROM edges) UNION SELECT b.w, b.s, a.v, b.d + 1 FROM bfs b JOIN arcs a ON a.w = b.w AND a.u = b.v WHERE b.d < 12)@@SELECT w, count(DISTINCT c) AS n_zero FROM (SELECT w, s, min(v) AS c FROM bfs GROUP BY ALL) GROUP BY 1")
+def zero_eigenvalues(spark, sf):
+    """Zero Laplacian eigenvalues, which count the components."""
+    return binary_spectra(spark, sf).select("w", "n_zero")
+
+
+@query("measure:s family:s n:i mean:f sd:f n_null:i")
+def measure_summary(spark, sf):
+    edges, n = tb.edges_of(spark, sf)
+    rows = windows.measure_ensemble(edges, n, 2)
+    return rows.groupBy("measure", "family").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count_if(F.col("value").isNull()).alias("n_null"))
+
+
+@query("bias:f mae:f abs_max:f r:f within:f")
+def null_summary(spark, sf):
+    """Planted block-model modularity against the real partition's."""
+    edges, n = tb.edges_of(spark, sf)
+    real = windows.louvain_partitions(edges, n, 1).groupBy("w").agg(F.first("q").alias("q"))
+    rows = windows.null_models(edges, n, 2).join(real, "w").withColumn("e", F.col("q_planted") - F.col("q"))
+    return rows.agg(F.avg("e").alias("bias"), F.avg(F.abs("e")).alias("mae"), F.max(F.abs("e")).alias("abs_max"), corr(F.col("q_planted"), F.col("q")).alias("r"), F.avg((F.abs("e") <= 0.03).cast("int")).alias("within"))
+
+
+@query("source:s q:f q_config:f excess:f")
+def noise_excess(spark, sf):
+    """Modularity over that of rewired graphs, for the panel and for noise of its shape."""
+    edges, n = tb.edges_of(spark, sf)
+    noise = spark.range(n * 80).select(F.format_string("e%03d", F.floor(F.col("id") / 80)).alias("entity"), (F.col("id") % 80).cast("int").alias("t"), F.randn(7).alias("y"))
+    blank = network.top_edges(network.window_correlation(noise, DELTA_T), network.edge_budget(n, tb.SHARE))
+    rows = None
+    for name, e in (("panel", edges), ("noise", blank)):
+        some = e.where("w % 3 = 0")
+        q = windows.louvain_partitions(some, n, 1).groupBy("w").agg(F.first("q").alias("q")).agg(F.avg("q").alias("q"))
+        c = windows.null_models(some, n, 1).agg(F.avg("q_config").alias("q_config"))
+        one = q.crossJoin(c).select(F.lit(name).alias("source"), "q", "q_config", (F.col("q") - F.col("q_config")).alias("excess"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("family:s other:s distance:f")
+def centroid_distances(spark, sf):
+    """Distances of the families' centroids on the components, in deviations of the real family."""
+    made, _, _ = learning.principal_components(_families(spark, sf), list(windows.MEASURES))
+    cent = made.groupBy("family").agg(F.avg("pc1").alias("a"), F.avg("pc2").alias("b"), F.sqrt(F.var_samp("pc1") + F.var_samp("pc2")).alias("s"))
+    real = cent.where("family = 'real'").select(F.col("family").alias("other"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("s").alias("rs"))
+    return cent.where("family <> 'real'").crossJoin(real).select("family", "other", div(F.hypot(F.col("a") - F.col("ra"), F.col("b") - F.col("rb")), F.col("rs")).alias("distance"))
