@@ -10,7 +10,7 @@ import pytest
 from tideframe.plans import registry
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 @pytest.fixture(scope="module")
