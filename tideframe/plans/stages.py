@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +19,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, which all executors share; where it is unset (tests) a folder of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="tideframe-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # at exit the session may be gone; the cluster clears its checkpoint folder
+        pass
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once: a small relation that many branches read must not scan its large source in each."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tideframe-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at the path if it was written whole, else made and written first."""
     if force or not _exists(spark, path):

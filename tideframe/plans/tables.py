@@ -1,4 +1,9 @@
-"""Panels and series made from the star-schema tables."""
+"""Panels and series made from the star-schema tables.
+
+A panel is tiny beside its source (entities x dates) and is read by many
+branches of a query (calendar, complete days, returns), so each is written once
+to the shared folder: one scan of the source a query.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import network, panel
+from .stages import materialised
 
 FIRST, LAST, DELTA_T, SHARE = "1995-02-01", "2001-11-01", 12, 0.10
 
@@ -25,17 +31,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _months(rows: DataFrame, day: str, entity: str, value: str) -> DataFrame:
-    kept = rows.where(f"{day} >= TIMESTAMP '{FIRST}' AND {day} < TIMESTAMP '{LAST}'")
+    kind = "TIMESTAMP_NTZ" if dict(rows.dtypes)[day] == "timestamp_ntz" else "TIMESTAMP"  # of the column's own type, so that the filter reaches the scan
+    kept = rows.where(f"{day} >= {kind} '{FIRST}' AND {day} < {kind} '{LAST}'")
     return kept.groupBy(F.col(entity).cast("string").alias("entity"), F.to_date(F.date_trunc("month", day)).alias("date")).agg(F.sum(value).alias("price"))
 
 
 def brand_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by brand and month; parts are summed first, so the join moves one row a part and month."""
-    return _months(read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")), "l_shipdate", "p_brand", "l_extendedprice")
+    """Revenue by brand and month."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    sales = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return materialised(_months(sales, "l_shipdate", "p_brand", "l_extendedprice"), "brand-months")
 
 
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _months(read(spark, sf_dir, "lineitem"), "l_shipdate", "l_suppkey", "l_extendedprice")
+    return materialised(_months(read(spark, sf_dir, "lineitem"), "l_shipdate", "l_suppkey", "l_extendedprice"), "supplier-months")
 
 
 def panel_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> DataFrame:
@@ -44,13 +53,13 @@ def panel_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> Dat
 
 
 def returns_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> DataFrame:
-    return panel.log_returns(panel_of(spark, sf_dir, policy))
+    return materialised(panel.log_returns(panel_of(spark, sf_dir, policy)), "returns")
 
 
 def edges_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> tuple[DataFrame, int]:
     rets = returns_of(spark, sf_dir, policy)
     n = rets.select("entity").distinct().count()
-    return network.top_edges(network.window_correlation(rets, DELTA_T), network.edge_budget(n, SHARE)), n
+    return materialised(network.top_edges(network.window_correlation(rets, DELTA_T), network.edge_budget(n, SHARE)), "edges"), n
 
 
 def partition_of(spark: SparkSession, sf_dir: str, blocks: int = 4) -> DataFrame:
@@ -62,7 +71,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(w, stamp, x, c, v, ret): mean and number of orders by day, and the log change of their total; a few thousand rows."""
     days = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("stamp")).agg(F.sum("o_totalprice").alias("v"), F.count(F.lit(1)).cast("double").alias("c"), F.avg("o_totalprice").alias("x"))
     order = Window.orderBy("stamp")
-    return days.withColumns({"w": F.row_number().over(order) - 1, "ret": F.coalesce(F.log("v") - F.lag(F.log("v")).over(order), F.lit(0.0))})
+    return materialised(days.withColumns({"w": F.row_number().over(order) - 1, "ret": F.coalesce(F.log("v") - F.lag(F.log("v")).over(order), F.lit(0.0))}), "daily")
 
 
 def events(spark: SparkSession) -> DataFrame:
