@@ -12,6 +12,7 @@ from ..operators import graph, learning, network, signals, windows
 from . import oracle as o
 from . import tables as tb
 from .catalog import query
+from .stages import materialised
 from .tables import DELTA_T
 
 
@@ -230,10 +231,10 @@ def family_components(spark, sf):
 
 @query("classes:i accuracy:f")
 def family_classifier(spark, sf):
-    rows = _families(spark, sf).withColumn("label", F.when(F.col("family") == "real", 0.0).when(F.col("family") == "community", 1.0).otherwise(2.0)).cache()
+    rows = _families(spark, sf).withColumn("label", F.when(F.col("family") == "real", 0.0).when(F.col("family") == "community", 1.0).otherwise(2.0))
+    rows = materialised(rows.coalesce(4), "families")
     three = learning.cross_validated_accuracy(rows, list(windows.MEASURES), "label", "w")
     two = learning.cross_validated_accuracy(rows.where("label < 2"), list(windows.MEASURES), "label", "w")
-    rows.unpersist()
     return spark.createDataFrame([(3, three), (2, two)], "classes int, accuracy double")
 
 
