@@ -38,6 +38,10 @@ def jaccard(a, b):
     return common / (sum(a.values()) + sum(b.values()) - common) if a and b else 0.0
 
 
+def plain(a, b):
+    return len(a.keys() & b.keys()) / len(a.keys() | b.keys()) if a and b else 0.0
+
+
 def classes(texts, idf, similarity=nd.SIMILARITY):
     sets = [weights(t, idf) for t in texts]
     parent = list(range(len(texts)))
@@ -49,7 +53,7 @@ def classes(texts, idf, similarity=nd.SIMILARITY):
 
     for i in range(len(texts)):
         for j in range(i):
-            if jaccard(sets[i], sets[j]) >= similarity:
+            if max(jaccard(sets[i], sets[j]), plain(sets[i], sets[j])) >= similarity - 1e-9:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return [root(i) for i in range(len(texts))]
 

@@ -5,7 +5,8 @@ A document is a weighted set of five-word shingles: weight = times it occurs x
 document counts kept by 2^18 hash buckets of words, a table of fixed size
 whatever the corpus. ICWS draws samples that two documents share with
 probability equal to their weighted Jaccard similarity; bands of samples give
-candidates; each link is verified by the exact weighted Jaccard similarity.
+candidates; each link is verified by the exact weighted Jaccard similarity, and a
+pair that reaches the bound by plain count of shingles is a link too.
 
 Nothing emits all pairs of a group. Exact copies are one node from the start.
 A bucket of a few nodes compares its pairs; a larger one compares each member
@@ -191,8 +192,11 @@ def sketch(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "rid long, fa long, fb long, w double, bands array<long>")
 
 
-def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of two columns of texts, row by row; 0 where either has no word."""
+def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray, plain: bool = False) -> np.ndarray:
+    """Weighted Jaccard similarity of two columns of texts, row by row; 0 where either has no word.
+
+    With `plain`, the greater of it and the Jaccard similarity of the shingle sets.
+    """
     fa, ha, wa, *_ = shingles(*text_bytes(a), idf)
     fb, hb, wb, *_ = shingles(*text_bytes(b), idf)
     rows = len(fa) - 1
@@ -205,14 +209,21 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(kb[order], ka), len(kb) - 1)
     same = kb[order][at] == ka
     common = np.bincount(ra[same], np.minimum(wa[same], wb[order][at][same]), rows)
-    return common / np.maximum(sums[0] + sums[1] - common, 1e-12)
+    weighted = common / np.maximum(sums[0] + sums[1] - common, 1e-12)
+    if not plain:
+        return weighted
+    both = np.bincount(ra[same], minlength=rows)
+    return np.maximum(weighted, both / np.maximum(np.diff(fa) + np.diff(fb) - both, 1))
 
 
 # ---------------------------------------------------------------- links and classes
 
 
 def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity. Only texts of candidate documents move."""
+    """The pairs (a, b) whose texts reach the similarity, by weight or by plain count of shingles.
+
+    Only texts of candidate documents move.
+    """
     ends = Written(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), f"{name}-ends").df
     mine = docs.join(by_size(ends, ends.count()), "rid", "left_semi")
     texts = Written(mine.groupBy("rid").agg(F.min("t").alias("t")), f"{name}-texts")
@@ -222,7 +233,7 @@ def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
         for batch in batches:
             for lo, hi in text_blocks(batch, "ta", BLOCK):
                 part = batch.slice(lo, hi - lo)
-                good = pa.array(similarities(part.column("ta"), part.column("tb"), idf) >= similarity - 1e-9)
+                good = pa.array(similarities(part.column("ta"), part.column("tb"), idf, plain=True) >= similarity - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
 
     links = Written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{name}-links").df
@@ -252,8 +263,8 @@ def connected(links: DataFrame, name: str) -> DataFrame:
 
 
 def _close(x: F.Column, y: F.Column, similarity: float) -> F.Column:
-    """The lighter of two sets of this similarity has at least that share of the heavier one's weight."""
-    return F.least(x, y) >= (similarity - 1e-6) * F.greatest(x, y)
+    """The lighter of two sets of this similarity has at least that share of the heavier one's weight, give or take idf."""
+    return F.least(x, y) >= (similarity / (1 + IDF_SHARE) - 1e-6) * F.greatest(x, y)
 
 
 def _pairs_within(groups: DataFrame, similarity: float, apart: bool) -> DataFrame:
