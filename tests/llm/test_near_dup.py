@@ -91,6 +91,33 @@ def test_classes_against_brute_force(documents):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_near_pairs_in_large_buckets_only(documents, monkeypatch):
+    """A template family whose texts share all bands: planted pairs, of which most have no pivot on either side."""
+    monkeypatch.setattr(nd, "BLOCK_NODES", 16, raising=False)
+    real = nd.sketch
+    monkeypatch.setattr(nd, "sketch", lambda docs, idf: real(docs, idf).selectExpr("rid", "fa", "fb", "w", "IF(bands IS NULL, NULL, sequence(1L, 12L)) AS bands"))
+    passage, texts = prose(170), []
+    for _ in range(30):
+        text = passage + prose(40)
+        texts += [" ".join(text), " ".join(text[:-1])]
+    df = documents(list(enumerate(texts)))
+    want = classes(texts, idf_of(nd.word_idf(df, "text")))
+    got = {r["rid"]: r["class_id"] for r in nd.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 30
+
+
+def test_block_links_against_brute_force(monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_ELEMENTS", 50)
+    base = prose(60)
+    texts = [" ".join(edited(base, n)) for n in (0, 0, 1, 2, 3, 4, 9)] + [" ".join(base * 2), " ".join(prose(40)), "", "w " * 9, "w " * 10]
+    table = np.linspace(0, 1, nd.BUCKETS).astype(np.float32)
+    sets = [weights(t, idf_of(table)) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            found = nd.block_links(pa.array([a]), pa.array([b]), np.array([1]), np.array([2]), table, 0.8)
+            assert bool(found) == (max(jaccard(sets[i], sets[j]), plain(sets[i], sets[j])) >= 0.8 - 1e-9), (i, j)
+
+
 def test_similarity_and_sampling():
     texts = [" ".join(prose(60))]
     texts += [" ".join(edited(texts[0].split(), n)) for n in range(1, 12)] + [texts[0] + " " + texts[0]]

@@ -10,7 +10,8 @@ pair that reaches the bound by plain count of shingles is a link too.
 
 Nothing emits all pairs of a group. Exact copies are one node from the start.
 A bucket of a few nodes compares its pairs; a larger one compares each member
-with a few pivots, and what is still apart is dealt anew by pairs of bands.
+with a few pivots. What a larger one still holds apart is compared whole, but for
+pairs that share none of their rarest shingles, which cannot reach the bound.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ IDF_SHARE = 0.1
 #: 12 bands of 3 samples find a pair of similarity 0.8 with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
 BUCKETS = 1 << 18
-#: Nodes of a bucket whose pairs are compared one by one: of bands, and of pairs of bands.
-SMALL, SMALL_PAIRED = 8, 24
+#: Nodes of a bucket whose pairs are compared one by one.
+SMALL = 8
+#: Nodes and weight (nearly words) of the blocks in which the rest is compared, and elements that a block looks at together.
+BLOCK_NODES, BLOCK_WEIGHT, BLOCK_ELEMENTS = 256, 100_000, 8_192
 #: ICWS first looks at elements that can have a value below REACH / total weight; the minimum is there but for exp(-REACH).
 REACH = 6.0
 BLOCK = 1 << 19
@@ -70,8 +73,8 @@ def word_idf(docs: DataFrame, text_col: str) -> np.ndarray:
 # ---------------------------------------------------------------- weighted shingles
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of all rows, in order of (row, hash): row offsets, hashes, weights; the words and their offsets.
+def shingles(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct shingles of all rows, in order of (row, hash): row offsets, hashes, weights; the words and their offsets; how often each occurs.
 
     A row of fewer than five words but at least one has one shingle, all its words.
     """
@@ -102,7 +105,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(hashes)))
     hashes, weight, row = hashes[at], weight[at] * times, row[at]
-    return np.searchsorted(row, np.arange(rows + 1)), hashes, weight, words, first
+    return np.searchsorted(row, np.arange(rows + 1)), hashes, weight, words, first, times
 
 
 def _values(z: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +183,7 @@ def sketch(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             for lo, hi in text_blocks(batch, "t", BLOCK):
                 part = batch.slice(lo, hi - lo)
-                first, hashes, weight, words, wfirst = shingles(*text_bytes(part.column("t")), idf)
+                first, hashes, weight, words, wfirst, _ = shingles(*text_bytes(part.column("t")), idf)
                 keys = band_keys(icws(first, hashes, weight)).view(np.int64)
                 total = np.diff(np.concatenate([[0.0], np.cumsum(weight)])[first])
                 offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
@@ -276,9 +279,9 @@ def _pairs_within(groups: DataFrame, similarity: float, apart: bool) -> DataFram
     return rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def _pairs_with(members: DataFrame, pivots: DataFrame, similarity: float, apart: bool) -> DataFrame:
+def _pairs_with(members: DataFrame, pivots: DataFrame, similarity: float) -> DataFrame:
     """Each member of a large bucket with its bucket's pivots, an array `m` of (node, w, comp)."""
-    here = lambda p: (F.col("node") != p["node"]) & _close(F.col("w"), p["w"], similarity) & ((F.col("comp") != p["comp"]) if apart else F.lit(True))
+    here = lambda p: (F.col("node") != p["node"]) & _close(F.col("w"), p["w"], similarity)
     rows = members.join(pivots, "key").select("node", F.explode(F.filter("m", here)).alias("p"))
     return rows.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
 
@@ -296,15 +299,161 @@ def _pivots(members: DataFrame) -> DataFrame:
     return found.select("key", F.array_distinct(F.array("p1", "p2", "p3.s", "p4.s")).alias("m"))
 
 
-def _candidates(members: DataFrame, small: int, similarity: float, apart: bool, name: str) -> DataFrame:
+def _candidates(members: DataFrame, similarity: float, name: str) -> DataFrame:
     """Distinct pairs (a, b) from the buckets of `members` (key, node, w, comp, n)."""
-    few = members.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("node", "w", "comp")).alias("m"))
-    many = members.where(F.col("n") > small)
+    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "w", "comp")).alias("m"))
+    many = members.where(F.col("n") > SMALL)
     pivots = Written(_pivots(many), f"{name}-pivots").df
-    pairs = _pairs_within(few, similarity, apart).unionByName(_pairs_with(many, pivots, similarity, apart))
+    pairs = _pairs_within(few, similarity, False).unionByName(_pairs_with(many, pivots, similarity))
     return pairs.where("a < b").distinct()
 
 
+# ---------------------------------------------------------------- what large buckets hold apart
+
+
+def shingle_counts(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Texts by hash bucket of shingles: the order from rare to common, a fixed number of sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for lo, hi in text_blocks(batch, "t", BLOCK):
+                _, hashes, *_ = shingles(*text_bytes(batch.column("t").slice(lo, hi - lo)), idf)
+                counts += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["b", "n"])
+
+    found = texts.select("t").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["b"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def rare_shingles(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): of each row's shingles from rare to common, those after which too little is left to reach the similarity.
+
+    What two texts share has at least that share of either one's weight, or of its
+    number of shingles, and none of it comes before the rarest shared one. So that one is among these in both.
+    """
+    first, hashes, weight, *_ = shingles(raw, offsets, idf)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, counts[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
+    hashes, weight = hashes[order], weight[order]
+    need = similarity - 1e-8
+    keep = np.zeros(len(hashes), bool)
+    for part in (weight, np.ones(len(hashes))):
+        upto = np.concatenate([[0.0], np.cumsum(part)])
+        total, left = upto[first[1:]] - upto[first[:-1]], upto[first[1:]][row] - upto[:-1]
+        keep |= left >= need * total[row] - 1e-6
+    return row[keep], hashes[keep]
+
+
+def block_links(left: pa.Array, right: pa.Array, left_comp: np.ndarray, right_comp: np.ndarray, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places (left, right) of pairs of different components that reach the similarity, as many as join those components."""
+    n, m = len(left), len(right)
+    both = pa.concat_arrays([left, right])
+    first, hashes, weight, _, _, times = shingles(*text_bytes(both), idf)
+    row = np.repeat(np.arange(n + m), np.diff(first))
+    total, kinds = np.bincount(row, weight, n + m), np.diff(first)
+    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)  # the k-th of a shingle meets the k-th of another text
+    keys, gain, row = mix(np.repeat(hashes, times) ^ mix(copy.astype(np.uint64))), np.repeat(weight / times, times), np.repeat(row, times)
+    _, at, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(sizes[at] > 1)
+    some = some[np.argsort(at[some], kind="stable")]
+    _, at = np.unique(at[some], return_inverse=True)
+    gain, row, new = gain[some], row[some], copy[some] == 0
+    weighted, plain = np.zeros((n, m)), np.zeros((n, m))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK_ELEMENTS):
+        here = slice(np.searchsorted(at, lo), np.searchsorted(at, lo + BLOCK_ELEMENTS))
+        width = int(at[here][-1]) - lo + 1
+        has, gains, once = np.zeros((n + m, width)), np.zeros(width), np.zeros(width)
+        has[row[here], at[here] - lo] = 1
+        gains[at[here] - lo], once[at[here] - lo] = gain[here], new[here]
+        weighted += (has[:n] * gains) @ has[n:].T
+        plain += (has[:n] * once) @ has[n:].T
+    best = np.maximum(weighted / np.maximum(total[:n, None] + total[None, n:] - weighted, 1e-12), plain / np.maximum(kinds[:n, None] + kinds[None, n:] - plain, 1))
+    links, parent = [], {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    for i, j in np.argwhere((best >= similarity - 1e-9) & (left_comp[:, None] != right_comp[None, :])).tolist():
+        a, b = root(int(left_comp[i])), root(int(right_comp[j]))
+        if a != b:
+            parent[a] = b
+            links.append((i, j))
+    return links
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """From (key, node, w, comp): (key, lo, kind, hi, node, comp, at), the pairs of blocks of each key.
+
+    A key's largest component is dealt into blocks of its own, which meet those of
+    the others only: pairs inside a component are no matter any more.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    whole = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    count = lambda n, w: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
+    dealt = whole.select("key", F.col("main.comp").alias("main"), count(F.col("main.n"), F.col("main.w")).alias("nm"), count(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("no"))
+    mine = rows.join(dealt, "key").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("main"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
+    place = lambda lo, kind, hi: F.struct(lo.cast("int").alias("lo"), F.lit(kind).alias("kind"), hi.cast("int").alias("hi"))
+    others, mains = F.sequence(F.lit(0), F.col("no") - 1), F.sequence(F.lit(0), F.col("nm") - 1)
+    meets = F.when(F.col("comp") == F.col("main"), F.transform(others, lambda i: place(i, "main", F.col("at")))).otherwise(
+        F.concat(F.transform(mains, lambda j: place(F.col("at"), "main", j)), F.transform(others, lambda j: place(F.least("at", j), "other", F.greatest("at", j))))
+    )
+    return mine.select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "at", F.explode(meets).alias("p")).select("key", "p.lo", "p.kind", "p.hi", "node", "comp", "is_main", "at")
+
+
+def compare_rest(rest: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float, links: DataFrame) -> DataFrame:
+    """The components after every pair of different ones in the buckets of `rest` (key, node, w, comp) is compared.
+
+    Lossless: a pair at the bound shares one of its rarest shingles. Few nodes with
+    such a shingle are compared as pairs; nodes with one that is less rare meet
+    the others of their kind in their buckets, in bounded blocks spread over tasks.
+    """
+    ends = Written(rest.select("node", "w", "comp").distinct(), "rest-ends").df
+    mine = docs.join(by_size(ends.select(F.col("node").alias("rid")), ends.count()), "rid", "left_semi")
+    texts = Written(mine.groupBy(F.col("rid").alias("node")).agg(F.min("t").alias("t")), "rest-texts")
+    counts = shingle_counts(texts.df, idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text_blocks(batch, "t", BLOCK):
+                row, hashes = rare_shingles(*text_bytes(batch.column("t").slice(lo, hi - lo)), idf, counts, similarity)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo).take(pa.array(row)), pa.array(hashes.view(np.int64))], ["node", "key"])
+
+    keyed = Written(texts.df.mapInArrow(run, "node long, key long").join(ends, "node"), "rare").df
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "n")
+    lists = Written(keyed.join(several, "key"), "rare-lists").df
+    few = lists.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "w", "comp")).alias("m"))
+    pairs = Written(_pairs_within(few, similarity, True).distinct(), "rare-pairs").df
+    links = Written(links.unionByName(verify(pairs, docs, idf, similarity, "rare")), "links").df
+    comps = connected(links, "rare")
+
+    hard = lists.where(F.col("n") > SMALL).select("node").distinct()
+    rows = rest.select("key", "node", "w").join(hard, "node", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    blocks = _blocks(Written(rows, "hard").df)
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.array(table.column("at").to_pylist()) == table.column("lo")[0].as_py()
+        if table.column("kind")[0].as_py() == "main":
+            side = ~np.array(table.column("is_main").to_pylist(), bool)
+        one, two = np.flatnonzero(side), np.flatnonzero(~side)
+        two = two if len(two) or table.column("lo")[0].as_py() != table.column("hi")[0].as_py() else one
+        t, comp, node = table.column("t").combine_chunks(), table.column("comp").to_numpy(), table.column("node").to_numpy()
+        found = block_links(t.take(pa.array(one)), t.take(pa.array(two)), comp[one], comp[two], idf, similarity) if len(one) and len(two) else []
+        made = np.array([(node[one[i]], node[two[j]]) for i, j in found], np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(made.min(axis=1)), "b": pa.array(made.max(axis=1))})
+
+    found = Written(blocks.join(texts.df, "node").groupBy("key", "lo", "kind", "hi").applyInArrow(compare, "a long, b long"), "rest-links").df
+    texts.drop()
+    return connected(links.unionByName(found), "rest") if found.limit(1).count() else comps
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(rid, class_id) for every row: the least id of the row's class of near duplicates.
 
@@ -322,23 +471,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = nodes.select("node", "w", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = Written(keyed.join(shared, "key").select("key", "node", "w", F.col("node").alias("comp"), "n"), "members").df
-    pairs = Written(_candidates(members, SMALL, similarity, False, "first"), "pairs").df
+    pairs = Written(_candidates(members, similarity, "first"), "pairs").df
     links = verify(pairs, docs, idf, similarity, "first")
     comps = connected(links, "first")
 
-    # Large buckets whose members are still in several components: dealt anew by pairs of bands.
+    # Large buckets whose members are still in several components.
     labelled = members.where(F.col("n") > SMALL).drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled = Written(labelled, "labelled").df
     apart = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    rest = Written(labelled.join(apart, "key", "left_semi").join(nodes.select("node", "bands"), "node"), "rest").df
+    rest = Written(labelled.join(apart, "key", "left_semi"), "rest").df
     if rest.limit(1).count():
-        paired = rest.select("node", "w", "comp", F.explode(F.transform(F.filter("bands", lambda k: k != F.col("key")), lambda k: F.xxhash64(F.least("key", k), F.greatest("key", k)))).alias("key")).distinct()
-        groups = paired.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "n")
-        again = Written(paired.join(groups, "key"), "again").df
-        more = Written(_candidates(again, SMALL_PAIRED, similarity, True, "second").join(pairs, ["a", "b"], "left_anti"), "more").df
-        found = verify(more, docs, idf, similarity, "second")
-        if found.limit(1).count():
-            comps = connected(links.unionByName(found), "second")
+        comps = compare_rest(rest, docs, idf, similarity, links)
 
     classes = nodes.join(comps, "node", "left").select("fa", "fb", F.coalesce("comp", "node").alias("class_id"))
     return rows.select("rid", "fa", "fb", F.col("bands").isNull().alias("bare")).join(classes, ["fa", "fb"], "left").select("rid", F.when(F.col("bare"), F.col("rid")).otherwise(F.coalesce("class_id", "rid")).alias("class_id"))
