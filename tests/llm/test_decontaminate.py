@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tideframe.llm import decontaminate as dc
+from tideframe.llm.common import text_bytes, word_hashes
 
 RNG = np.random.default_rng(5)
 WORDS = ["".join(RNG.choice(list("abcdefghijklm"), 5)) for _ in range(3000)] + ["the", "of"] * 300
@@ -61,6 +64,38 @@ def test_recall_at_every_allowed_number_of_edits(spark, documents):
     assert not set(got) - set(true)
 
 
+@pytest.mark.parametrize("n", [8, 20, 40, 60, 61, 100, 250, 300, 500])
+def test_recall_of_each_length_and_number_of_edits(n):
+    copies, most = max(1, 60 // n), dc.edits_allowed(n)
+    item = prose(n)
+    index = dc.Index([(1, " ".join(item))])
+    true = {e: 0 for e in range(most + 1)}
+    found = dict(true)
+    for edits in true:
+        for _ in range(copies if edits < 0.8 * most else 4 * copies):
+            text = " ".join(prose(30) + edited(item, edits) + prose(30))
+            words, first = word_hashes(*text_bytes(pa.array([text])), dc.SEPARATES)
+            want, _ = dc.edit_distance(index.words[0], words)
+            if want <= most:
+                true[edits] += 1
+                found[edits] += index.search(words, first)[:1] == [(0, 0, want, dc.edit_distance(index.words[0], words)[1])] if n > 60 else bool(index.search(words, first))
+    assert sum(found.values()) >= 0.99 * sum(true.values())
+    assert all(true[e] - found[e] <= 1 for e in true), (true, found)
+
+
+def test_recall_of_long_items_at_the_bound():
+    """500 words with an edit at 100 places."""
+    found = 0
+    for _ in range(12):
+        item = prose(500)
+        copy = list(item)
+        for at in RNG.choice(500, 100, replace=False):
+            copy[at] = f"edit{at}"
+        words, first = word_hashes(*text_bytes(pa.array([" ".join(prose(30) + copy + prose(30))])), dc.SEPARATES)
+        found += bool(dc.Index([(1, " ".join(item))]).search(words, first))
+    assert found == 12
+
+
 def test_edge_cases(spark, documents, monkeypatch):
     item = prose(12)
     bench = [(1, " ".join(item)), (2, " ".join(item)), (3, None), (4, ""), (5, "too short"), (None, " ".join(prose(20)))]

@@ -6,7 +6,9 @@ that few edits become few differing places; tables keyed by sampled places of
 several walks give candidates, and a semi-global edit distance verifies each.
 Before they are embedded, windows that cannot be within the allowed edits are
 passed over: d edits of n words leave at least n - 1 - 2d of the item's word
-pairs in place, so a window with fewer pairs of any item is no match.
+pairs in place, so a window with fewer pairs of any item is no match. A long
+item is embedded in pieces: one of them has at most its share of the edits, and
+the place of each piece that is found is verified with the whole item.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import bounded_batches, mix, text_blocks, text_bytes, word_hashes
 EDIT_RATE, LEAST_WORDS = 0.2, 8
 #: Walks, tables by walk, places by table: see test_decontaminate for the recall that they reach.
 WALKS, TABLES, PLACES = 12, 4, 3
+#: Words of an item that is embedded whole; longer ones are cut into equal pieces.
+PIECE_WORDS = 60
 #: Items handled in one pass over the documents; more of them take more passes.
 ITEMS_A_PASS = 20_000
 _FLAGS = 1 << 22
@@ -86,7 +90,7 @@ def embed_keys(words: np.ndarray, start: np.ndarray, stop: np.ndarray, plan: lis
 
 @dataclass
 class Group:
-    """Items of nearly one length, and their tables: all keys sorted, with the item of each."""
+    """Items and pieces of nearly one length, and their tables: all keys sorted, with the place in Index.pieces of each."""
 
     low: int
     high: int
@@ -109,15 +113,20 @@ class Index:
         self.sets = [set(w.tolist()) for w in self.words]
         self.flags = np.zeros(_FLAGS, bool)
         self.groups: list[Group] = []
-        by_size = sorted((len(w), k) for k, w in enumerate(self.words) if len(w) >= LEAST_WORDS)
+        self.pieces: list[tuple[int, int, int]] = []  # item, first word, end
+        for k, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // PIECE_WORDS) + 1).astype(int).tolist() if len(w) >= LEAST_WORDS else []
+            self.pieces += [(k, lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+        by_size = sorted((hi - lo, k) for k, (_, lo, hi) in enumerate(self.pieces))
         while by_size:
             low = by_size[0][0]
             high = int(low * 1.15)
             mine = [k for n, k in by_size if n <= high]
             by_size = by_size[len(mine) :]
             plan = _plan(low, low)
-            flat = np.concatenate([self.words[k] for k in mine])
-            stops = np.cumsum([len(self.words[k]) for k in mine])
+            texts = [self.words[item][lo:hi] for item, lo, hi in (self.pieces[k] for k in mine)]
+            flat = np.concatenate(texts)
+            stops = np.cumsum([len(w) for w in texts])
             made = embed_keys(flat, np.concatenate([[0], stops[:-1]]), stops, plan)
             keys, items_ = made.ravel(), np.repeat(np.array(mine), made.shape[1])
             order = np.lexsort((items_, keys))
@@ -138,6 +147,7 @@ class Index:
         hit = self.flags[self._pair(words)] & (row_of[1:] == row_of[:-1])
         total = np.concatenate([[0], np.cumsum(hit)])
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        looked: dict[tuple[int, int], list[tuple[int, int]]] = {}
         starts_all = np.arange(len(words))
         for group in self.groups:
             reach = group.high + edits_allowed(group.high)
@@ -156,8 +166,12 @@ class Index:
             n = n[found]
             at = np.repeat(lo[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
             where = np.repeat(starts[found // keys.shape[1]], n)
-            for item, start in np.unique(np.column_stack([group.items[at], where]), axis=0).tolist():
-                self._verify(words, first, int(row_of[start]), item, start, best)
+            for piece, start in np.unique(np.column_stack([group.items[at], where]), axis=0).tolist():
+                item, begin, end = self.pieces[piece]
+                if end - begin == len(self.words[item]):
+                    self._verify(words, first, int(row_of[start]), item, start, best)
+                else:
+                    self._verify_long(words, first, int(row_of[start]), item, start - begin, best, looked)
         return sorted((r, i, d, e) for (r, i), (d, e) in best.items())
 
     def _verify(self, words: np.ndarray, first: np.ndarray, row: int, item: int, start: int, best: dict) -> None:
@@ -173,6 +187,23 @@ class Index:
         if edits <= most and (known is None or edits < known[0]):
             best[(row, item)] = (edits, low + end)
 
+    def _verify_long(self, words: np.ndarray, first: np.ndarray, row: int, item: int, start: int, best: dict, looked: dict) -> None:
+        """The item from about `start`, which edits before the piece and in it may shift; no stretch is looked at twice."""
+        n, most = len(self.words[item]), edits_allowed(len(self.words[item]))
+        known = best.get((row, item))
+        ends = int(first[row]), int(first[row + 1])
+        low, high = max(ends[0], start - 2 * most), min(ends[1], start + n + 2 * most)
+        done = looked.setdefault((row, item), [])
+        if high <= low or known and known[0] == 0 or any(lo <= low and high <= hi for lo, hi in done):
+            return
+        low, high = max(ends[0], low - most), min(ends[1], high + most)
+        done.append((low, high))
+        if len(self.sets[item].difference(words[low:high].tolist())) > most:
+            return
+        edits, end = edit_distance(self.words[item], words[low:high])
+        if edits <= most and (known is None or edits < known[0]):
+            best[(row, item)] = (edits, low + end)
+
 
 def _passes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """One index for each ITEMS_A_PASS items; only that many reach the driver at a time."""
