@@ -596,5 +596,5 @@ def segment_series(spark, sf):
     """Four numbers a day of the daily series, cut into two kinds of stretches."""
     d = tb.daily(spark, sf)
     z = [signals.trailing_z(d.withColumn("x", F.col(c)), 60).select("w", F.coalesce("z", F.lit(0.0)).alias(c)) for c in ("x", "c", "v")]
-    rows = z[0].join(z[1], "w").join(z[2], "w").where("w < 600")
+    rows = z[0].join(z[1], "w").join(z[2], "w")
     return windows.segment(rows.select(F.lit("orders").alias("series"), F.col("w").alias("t"), F.array("x", "c", "v").alias("x")), 2, 3, 2, 0.1, 30.0, 6)
