@@ -1,11 +1,31 @@
 """Queries that read the whole of their tables."""
 
-from tideframe.plans import catalog
+import numpy as np
+from pyspark.sql import functions as F
+
+from tideframe.operators import windows
+from tideframe.plans import catalog, studies
 from tideframe.plans import tables as tb
 
 SF = "/root/testdata/sf0.01"
 
 
+def test_all_components_are_clustered(spark, tmp_path):
+    """Ten labels that differ in the last components only."""
+    rng = np.random.default_rng(3)
+    rows = [(k % 10, (rng.normal(0, 0.01, 16) + 9 * np.eye(16)[6 + k % 10]).tolist()) for k in range(300)]
+    spark.createDataFrame(rows, "label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = studies.clustered_embeddings(spark, str(tmp_path)).where("method = 'kmeans'").groupBy("prediction").agg(F.countDistinct("label").alias("k")).collect()
+    assert len(got) >= 8 and sum(r["k"] for r in got) == 10
+
+
+def test_all_windows_count(spark):
+    edges, n = tb.edges_of(spark, SF)
+    want = windows.louvain_partitions(edges, n, 1).groupBy("w").agg(F.first("q").alias("q")).agg(F.avg("q")).first()[0]
+    got = studies.noise_excess(spark, SF).where("source = 'panel'").first()["q"]
+    assert abs(got - want) < 1e-9
+
+
 def test_all_days_are_segmented(spark):
     days = tb.daily(spark, SF).count()
     assert days > 600 and catalog.segment_series(spark, SF).count() == days - 1

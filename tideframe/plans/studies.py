@@ -251,8 +251,9 @@ def logistic_detector(spark, sf):
 
 @query("method:s label:i prediction:i n:i")
 def clustered_embeddings(spark, sf):
-    e = tb.read(spark, sf, "embeddings").select("label", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(8)))
-    cols = [f"x{k}" for k in range(8)]
+    e = tb.read(spark, sf, "embeddings")
+    cols = [f"x{k}" for k in range(e.agg(F.max(F.size("embedding"))).first()[0])]
+    e = e.select("label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(cols)))
     rows = [learning.cluster(e, cols, 10, 0, m, 3).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(m)) for m in ("kmeans", "mixture")]
     return rows[0].unionByName(rows[1])
 
@@ -364,9 +365,8 @@ def noise_excess(spark, sf):
     blank = network.top_edges(network.window_correlation(noise, DELTA_T), network.edge_budget(n, tb.SHARE))
     rows = None
     for name, e in (("panel", edges), ("noise", blank)):
-        some = e.where("w % 3 = 0")
-        q = windows.louvain_partitions(some, n, 1).groupBy("w").agg(F.first("q").alias("q")).agg(F.avg("q").alias("q"))
-        c = windows.null_models(some, n, 1).agg(F.avg("q_config").alias("q_config"))
+        q = windows.louvain_partitions(e, n, 1).groupBy("w").agg(F.first("q").alias("q")).agg(F.avg("q").alias("q"))
+        c = windows.null_models(e, n, 1).agg(F.avg("q_config").alias("q_config"))
         one = q.crossJoin(c).select(F.lit(name).alias("source"), "q", "q_config", (F.col("q") - F.col("q_config")).alias("excess"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
