@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,8 +41,26 @@ def test_blocks_cover_all_rows():
 
 def test_written_and_bounds(spark):
     made = c.Written(spark.range(0).selectExpr("id", "'x' AS t"), "t")
-    assert made.df.count() == 0 and made.df.columns == ["id", "t"]
+    assert made.df.count() == 0 and made.df.columns == ["id", "t"] and made.path in c._live
     made.drop()
-    assert c.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert made.path not in c._live
     assert "broadcast" in c.by_size(spark.range(3), 3)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in c.by_size(spark.range(3), c.BROADCAST_ROWS + 1)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_shared_folder(spark):
+    """The session's folder, or one of our own in local mode; an error elsewhere. Nothing is set in the session."""
+
+    class Fake:
+        def __init__(self, master, where=None):
+            self.sparkContext = type("C", (), {"master": master, "applicationId": "app"})()
+            self.conf = type("F", (), {"get": staticmethod(lambda name, default=None: where)})()
+
+    assert c.shared_dir(Fake("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert c.shared_dir(Fake("local[4]")).startswith("file:/") and c.shared_dir(Fake("local")) == c.shared_dir(Fake("local[*]"))
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            c.shared_dir(Fake(master))
+    before = {k: spark.conf.get(k, None) for k in ("spark.checkpoint.dir", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    c.shared_dir(spark)
+    assert before == {k: spark.conf.get(k, None) for k in before}

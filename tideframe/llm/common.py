@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,13 +31,20 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 # ---------------------------------------------------------------- shared tables
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or in local mode, where it is unset (tests), one of our own.
+
+    Elsewhere an unset folder is an error: executors would each write to a disk of their own.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tideframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tideframe-"))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -45,25 +53,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        _delete(spark, path)
-    except Exception:  # the session may have ended; the cluster clears its checkpoint folder
-        pass
+_live: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_at_exit() -> None:
+    for path, spark in _live.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may have ended; the cluster clears its checkpoint folder
+            return
 
 
 class Written:
-    """A DataFrame written once as Parquet into the shared folder, so that a lost executor costs no recomputation."""
+    """A DataFrame written once as Parquet into the shared folder, so that a lost executor costs no recomputation.
+
+    `drop` deletes it once nothing reads it any more; what a returned DataFrame reads stays until the driver exits.
+    """
 
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/tideframe-{name}-{uuid.uuid4().hex}"
+        _live[self.path] = spark
         df.write.mode("overwrite").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_delete_at_exit, spark, self.path)
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
+        _live.pop(self.path, None)
 
 
 def by_size(small: DataFrame, rows: int) -> DataFrame:
@@ -97,9 +114,9 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- text blocks
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row spans [lo, hi) of a batch with about `limit` bytes of text each; a longer text is a span of its own."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+def text_spans(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row spans [lo, hi) of a column with about `limit` bytes of text each; a longer text is a span of its own."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     lo = total = 0
     for hi, size in enumerate(sizes):
         if hi > lo and total + size > limit:
@@ -110,6 +127,18 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
         yield lo, len(sizes)
 
 
+def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """The same for a column of a batch."""
+    return text_spans(batch.column(column), limit)
+
+
+def slices(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `limit` bytes on average, whatever its columns."""
+    step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and each row's offset into them; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -143,18 +172,23 @@ SEPARATES = np.zeros(256, bool)
 SEPARATES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, separates: np.ndarray = SEPARATES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, separates: np.ndarray = SEPARATES, outside: np.ndarray | None = None, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all rows, in order, and each row's offset into them.
 
     Each word's hash is a polynomial over its bytes modulo 2^64, mixed with its
-    length; rows never share a word. No Python object is made per word.
+    length; rows never share a word. `outside` are places of further bytes that are in no word,
+    `cuts` places where a word begins even inside one. No Python object is made per word.
     """
     rows = len(offsets) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     inside = ~separates[raw]
+    if outside is not None:
+        inside[outside] = False
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
+    if cuts is not None:
+        opens[cuts] = inside[cuts]
     edges = offsets[:-1][offsets[:-1] < len(raw)]
     opens[edges] = inside[edges]
     starts = np.flatnonzero(opens)
