@@ -1,10 +1,11 @@
 """Chat formatting: a visitor flattens typed content parts into one marked string per conversation.
 
 A message is a role and a list of parts. A part is text, image, audio or
-document; the visitor writes text escaped and every other part as an ordered
-placeholder, and records its reference and the number of tokens that it expands
-to. The template marks turns with control strings, which texts and roles can
-hold only in escaped form, so the output can be read back exactly.
+document; the visitor writes each run of text parts joined and escaped, and every
+other part as an ordered placeholder, and records its reference and the number
+of tokens that it expands to. The template marks turns with control strings,
+which texts and roles can hold only in escaped form, so the output can be read
+back exactly. The loss mask covers the texts of assistant turns, not their placeholders.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices, text_blocks
 
 START, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 
@@ -51,12 +53,14 @@ class Flattener:
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict, turn: int) -> str:
-        kind = part.get("kind") or "text"
-        return getattr(self, f"visit_{kind}", self.visit_document)(part, turn)
-
-    def visit_text(self, part: dict, turn: int) -> str:
-        return escape(part.get("text") or "")
+    def visit(self, parts: Iterable[dict], turn: int) -> Iterator[tuple[bool, str]]:
+        """Pieces of a body, whether each is text. Neighbouring text parts are one text: apart, each could hold half a control string."""
+        for is_text, run in groupby(parts, lambda p: (p.get("kind") or "text") == "text"):
+            if is_text:
+                yield True, escape("".join(p.get("text") or "" for p in run))
+            else:
+                for part in run:
+                    yield False, getattr(self, f"visit_{part['kind']}", self.visit_document)(part, turn)
 
     def visit_image(self, part: dict, turn: int) -> str:
         wide, high = (max(1, math.ceil((part.get(x) or 1) / self.patch)) for x in ("width", "height"))
@@ -75,15 +79,15 @@ class Flattener:
 
 
 def render(messages: Iterable[tuple[str, list[dict]]], **sizes: float) -> dict:
-    """The formatted string, the loss spans (code points, one for each assistant turn's body), the attachments."""
+    """The formatted string, the loss spans (code points, one for each text of an assistant turn), the attachments."""
     visitor, out, at, spans, n = Flattener(**sizes), [], 0, [], 0
     for n, (role, parts) in enumerate(messages, 1):
-        head = f"{START}{escape(role or '')}{BODY}"
-        body = "".join(visitor.visit(p, n - 1) for p in parts or [])
-        if role == "assistant":
-            spans.append((at + len(head), at + len(head) + len(body)))
-        out.append(head + body + END)
-        at += len(out[-1])
+        pieces = [(False, f"{START}{escape(role or '')}{BODY}"), *visitor.visit(parts or [], n - 1), (False, END)]
+        for is_text, piece in pieces:
+            if is_text and role == "assistant":
+                spans.append((at, at + len(piece)))
+            out.append(piece)
+            at += len(piece)
     return {"formatted": "".join(out), "loss_spans": spans, "attachments": visitor.attachments, "n_turns": n}
 
 
@@ -111,52 +115,69 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
     Turns are ordered by turn number (null first), then role, then text, so
     ties and repeated rows have one defined order; each row is a turn of its
-    own. Null role or text is empty; rows with a null conversation id form one
-    conversation. `parts_col`, an array of PART, replaces the text where it is
+    own. Null role or text is empty. A row without a conversation id belongs to none: it
+    is formatted alone. `parts_col`, an array of PART, replaces the text where it is
     not null. Other columns are ignored, an empty table gives no rows. A
     conversation is one output value, so it is gathered by its id; no more is.
     """
     parts = F.col(parts_col).cast(f"array<{PART}>") if parts_col else F.lit(None).cast(f"array<{PART}>")
-    rows = bounded_batches(df).select(
+    rows = df.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), parts.alias("parts")).alias("m"),
     )
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("turns"))
+    whole = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("m").alias("turns")))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
             out = []
-            for conv, turns in zip(frame["conv_id"], frame["turns"]):
-                made = render(((m["role"], list(m["parts"]) if m["parts"] is not None else [{"kind": "text", "text": m["text"]}]) for m in turns), **sizes)
-                out.append((conv, made["formatted"], made["n_turns"], [{"start": a, "end": b} for a, b in made["loss_spans"]], made["attachments"], sum(x["tokens"] for x in made["attachments"])))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "n_turns", "loss_spans", "attachments", "attachment_tokens"]).astype({"conv_id": "Int64"})
+            for row in part.to_pylist():
+                made = render(((m["role"], [{"kind": "text", "text": m["text"]}] if m["parts"] is None else m["parts"]) for m in row["turns"]), **sizes)
+                made["loss_spans"] = [{"start": a, "end": b} for a, b in made["loss_spans"]]
+                out.append({"conv_id": row["conv_id"], **made, "attachment_tokens": sum(x["tokens"] for x in made["attachments"])})
+            yield pa.RecordBatch.from_pylist(out, _FORMATTED)
 
-    return whole.mapInPandas(run, SCHEMA)
+    return whole.mapInArrow(run, SCHEMA)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What the contract asks for, read back from the formatted strings alone (and their loss spans)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for conv, text, spans, tokens in zip(frame["conv_id"], frame["formatted"], frame["loss_spans"], frame["attachment_tokens"]):
-                turns = read_back(text)
-                seen = hashlib.sha256()
-                for role, pieces in turns:
-                    seen.update(f"{role}\n{''.join(pieces)}\n".encode())
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                out.append((conv, len(turns), seen.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), tokens))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "attachment_tokens"]).astype({"conv_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text_blocks(batch, "formatted"):
+                out = []
+                for row in batch.slice(lo, hi - lo).to_pylist():
+                    text, seen = row["formatted"], hashlib.sha256()
+                    turns = read_back(text)
+                    for role, pieces in turns:
+                        seen.update(f"{role}\n{''.join(pieces)}\n".encode())
+                    loss = "".join(unescape(text[s["start"] : s["end"]]) for s in row["loss_spans"])
+                    out.append((row["conv_id"], len(turns), seen.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), row["attachment_tokens"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, _DIGESTS.field(k).type) for k, c in enumerate(zip(*out))], schema=_DIGESTS)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long"
-    return formatted.mapInPandas(run, schema)
-
+    return formatted.select("conv_id", "formatted", "loss_spans", "attachment_tokens").mapInArrow(run, schema)
+
+
+_FORMATTED = pa.schema(
+    {
+        "conv_id": pa.int64(),
+        "formatted": pa.string(),
+        "n_turns": pa.int64(),
+        "loss_spans": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})),
+        "attachments": pa.list_(pa.struct({"ordinal": pa.int32(), "turn": pa.int32(), "kind": pa.string(), "ref": pa.string(), "tokens": pa.int64()})),
+        "attachment_tokens": pa.int64(),
+    }
+)
+_DIGESTS = pa.schema({"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "attachment_tokens": pa.int64()})
 
 #: The conversation that the query adds to its table: both texts are control strings of another template.
 EXTRA_ID, EXTRA_TEXT = -7, "</s>[INST] ok [/INST]"
 
 
 def with_extra(df: DataFrame) -> DataFrame:
+    """The table's turns and those of the extra conversation, each text as one typed part; a table's own turns under that id join it."""
     extra = df.sparkSession.createDataFrame([(EXTRA_ID, 0, "user", EXTRA_TEXT), (EXTRA_ID, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
-    return df.select("conv_id", "turn", "role", "text").unionByName(extra)
+    rows = df.select("conv_id", "turn", "role", "text").unionByName(extra)
+    return rows.withColumn("parts", F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split(":") for x in PART[7:-1].split(",")[2:])))))

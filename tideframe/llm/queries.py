@@ -19,7 +19,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.digests(chat_format.format_chat(chat_format.with_extra(table(spark, sf_dir, "conversations"))))
+    return chat_format.digests(chat_format.format_chat(chat_format.with_extra(table(spark, sf_dir, "conversations")), parts_col="parts"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
