@@ -7,7 +7,8 @@ host's pages. Only DataFrame functions are used.
 A host's boilerplate is short whatever its size: each such line is on more than
 `max_ratio` of its pages, so there are at most (lines per page / max_ratio) of
 them. So the texts never move: every page filters its own lines against its
-host's short list. Lines travel as two 64-bit hashes, pre-aggregated by task.
+host's short list. Lines travel as two 64-bit hashes, pre-aggregated by task; a
+page's lines meet the short list by the first of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WS, Written
 
-MAX_RATIO, MIN_PAGES = 0.10, 5
+#: The ratio decides; a line on one page only is not repeated, whatever its ratio.
+MAX_RATIO, MIN_PAGES = 0.10, 2
 
 
 def _key(line: Column) -> Column:
@@ -37,7 +39,7 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float =
     lines = pages.select("host", F.explode(_keys(F.col("t"))).alias("k")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     often = lines.join(totals.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2"))).where(F.col("n") > max_ratio * F.col("total"))
-    return often.groupBy("host").agg(F.collect_list("k").alias("ks"))
+    return often.groupBy("host").agg(F.collect_set("k.a").alias("ks"))
 
 
 def drop_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -52,17 +54,19 @@ def drop_lines(df: DataFrame, host_col: str = "source", text_col: str = "text",
     """
     kept = Written(boilerplate(df, host_col, text_col, max_ratio, min_pages), "boilerplate").df.toDF("__tf_host", "__tf_ks")
     hosts, entries = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__tf_ks")), F.lit(0))).first()
-    small = F.broadcast(kept) if 8 * hosts + 3 * entries <= BROADCAST_ROWS else kept  # beyond it, the join shuffles and a hot host is split by AQE
+    small = F.broadcast(kept) if 8 * hosts + entries <= BROADCAST_ROWS else kept  # beyond it, the join shuffles and a hot host is split by AQE
     joined = df.join(small, F.col(host_col).cast("string").eqNullSafe(F.col("__tf_host")), "left")
     lines = F.split(F.col(text_col), "\n")
-    left = F.when(F.col("__tf_ks").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x, F.lit(WS)) == "") | ~F.array_contains(F.col("__tf_ks"), _key(x))))
+    own = F.transform(_keys(F.col(text_col)), lambda k: k["a"])
+    joined = joined.withColumn("__tf_gone", F.array_intersect(own, F.col("__tf_ks")))  # by hash: neither a long page nor a long list is searched for each line
+    left = F.when(F.coalesce(F.size("__tf_gone"), F.lit(0)) == 0, lines).otherwise(F.filter(lines, lambda x: (F.trim(x, F.lit(WS)) == "") | ~F.array_contains(F.col("__tf_gone"), _key(x)["a"])))
     made = joined.withColumn("__tf_left", left)
     out = {text_col: F.array_join("__tf_left", "\n")}
     if counts:
         n = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
         out |= {counts[0]: F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n(lines))}
         out |= {counts[1]: F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n(lines) - n(F.col("__tf_left")))}
-    return made.withColumns(out).drop("__tf_host", "__tf_ks", "__tf_left")
+    return made.withColumns(out).drop("__tf_host", "__tf_ks", "__tf_gone", "__tf_left")
 
 
 ORACLE = f"""
