@@ -47,5 +47,26 @@ def test_lines_then_documents(documents):
     assert not got[10]["kept"] and not got[10]["base_failed"]
 
 
+CLEAN = {
+    "hi": "यह एक साफ़ वाक्य है जिसमें पर्याप्त शब्द हैं और यह यहाँ समाप्त होता है।\nदूसरा वाक्य भी यहाँ ठीक से समाप्त होता है॥",
+    "zh": "今天 天气 很好 ， 我们 一起 去 公园 散步 吧 。\n然后 我们 回家 吃饭 ！",
+    "ar": "هل تعرف ما هو الجواب الصحيح لهذا السؤال الذي طرحته عليك أمس؟\nهذه جملة كاملة تنتهي هنا.",
+    "th": "วันนี้ อากาศ ดี มาก เรา ไป เดิน เล่น ที่ สวน กัน ดี ไหม\nแล้ว กลับ บ้าน",
+    "am": "ይህ ንጹህ ዓረፍተ ነገር ነው እና በቂ ቃላት አሉት እዚህ ያበቃል ብዬ አስባለሁ።",
+    "fr": "Il a dit que la « politique de confidentialité » était longue, et puis il est parti sans un mot de plus, ce qui a surpris tout le monde dans la salle, car personne ne s'y attendait vraiment ce jour-là, ni les uns ni les autres, malgré tous les signes qui auraient dû les alerter bien avant que cela n'arrive enfin.\nElle répondit «oui»",
+}
+JUNK = ["Next »", "Weiter ›", "Accueil > Recherche", "Home", "1 · 2 · 3 · 4.", "© 2020 Alle Rechte vorbehalten.", "Cliquez ici.", "no mark at the end", "$$$ %%% ###."]
+
+
+def test_scripts_and_phrases(documents):
+    got = {r["doc_id"]: r for r in q.quality_rules(documents(list(enumerate([*CLEAN.values(), "\n".join(JUNK)])))).collect()}
+    for k, lang in enumerate(CLEAN):
+        assert got[k]["cleaned"] == CLEAN[lang] and got[k]["kept"], lang
+    assert got[len(CLEAN)]["cleaned"] == "" and not got[len(CLEAN)]["kept"]
+    other = q.QualityRules(navigation=("etusivu",), boilerplate=("kaikki oikeudet",))
+    one = q.quality_rules(documents([(1, "Etusivu.\nHome.\nKaikki oikeudet pidätetään.\nClick here.")]), rules=other).first()
+    assert one["cleaned"] == "Home.\nClick here."
+
+
 def test_empty_table(documents, spark):
     assert q.quality_rules(documents([(1, "x")]).limit(0)).collect() == []

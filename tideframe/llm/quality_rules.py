@@ -1,11 +1,14 @@
 """Quality rules, line first: evaluate each line, remove failing lines, reject documents that lose too much.
 
-Only DataFrame functions are used. All counting happens inside the row that
-holds the text: no explode, no shuffle, whatever the table's size or skew.
+The rules go by script-neutral signs (marks that end lines, symbols, separators,
+arrows) and by lists of phrases, which are parameters. Only DataFrame functions
+are used. All counting happens inside the row that holds the text: no explode,
+no shuffle, whatever the table's size or skew.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,11 +16,34 @@ from pyspark.sql import functions as F
 
 from .common import WS, WS_CLASS
 
-#: Characters counted as symbols, and the openings of navigation and boilerplate lines.
+#: Characters counted as symbols; characters that part the entries of a menu; arrows.
 SYMBOLS = "#*$%&|<>"
-NAVIGATION = r"^\s*(?i:home|menu|login|log in|sign in|sign up|register|next|previous|back to top|search|site map|contact us|about us)\s*([|>/-].*)?$"
-BOILERPLATE = r"(?i:all rights reserved|privacy policy|cookie policy|use of cookies|terms of (use|service)|enable javascript|lorem ipsum|click here|subscribe to our)"
-TERMINAL = r"[.!?:;\"')\x{2026}\x{00BB}\x{201D}][\x20\x09-\x0D]*$"
+SEPARATORS = "|·•"
+ARROWS = "»›→≫"
+#: Marks that end a sentence, a clause or a quotation, by script. Thai and Lao have none: there a letter ends a line.
+TERMINAL = (
+    ".!?:;\"')…‽"  # Latin, Greek, Cyrillic
+    "”’›»“‘"  # closing quotation marks
+    "։׃؛؟۔܀।॥෴๏๚๛།༎၊။"  # Armenian, Hebrew, Arabic, Syriac, Indic, Sinhala, Thai, Tibetan, Myanmar
+    "።፧។៕᠃᠉᥄᥅꓿꘎꛳"  # Ethiopic, Khmer, Mongolian, Limbu, Lisu, Vai, Bamum
+    "。！？．：；」』）》】〉｡"  # Chinese, Japanese, Korean
+)
+#: What may follow a menu word.
+AFTER = r"([|>/»›-].*|[.:!…]*)"
+UNMARKED = ("\u0e00", "\u0eff")
+#: Openings of navigation lines, and phrases of boilerplate, in lower case; pass others for other languages.
+NAVIGATION = (
+    ("home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "search", "site map", "contact us", "about us")
+    + ("startseite", "anmelden", "registrieren", "weiter", "zurück", "nach oben", "suche", "impressum", "kontakt", "über uns")
+    + ("accueil", "connexion", "se connecter", "s'inscrire", "suivant", "précédent", "haut de page", "recherche", "plan du site", "contactez-nous", "à propos")
+    + ("inicio", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "buscar", "mapa del sitio", "contacto", "acerca de")
+)
+BOILERPLATE = (
+    ("all rights reserved", "privacy policy", "cookie policy", "use of cookies", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "click here", "subscribe to our")
+    + ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "hier klicken")
+    + ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "cliquez ici")
+    + ("todos los derechos reservados", "política de privacidad", "términos de uso", "haga clic aquí")
+)
 
 
 @dataclass(frozen=True)
@@ -29,7 +55,11 @@ class QualityRules:
     window: int = 5
     max_line_symbols: float = 0.10
     max_separators: int = 3
+    #: A longer line that names a phrase of boilerplate is prose about it.
+    max_phrase_chars: int = 300
     max_lost: float = 0.50
+    navigation: tuple[str, ...] = NAVIGATION
+    boilerplate: tuple[str, ...] = BOILERPLATE
 
 
 def words_of(text: Column) -> Column:
@@ -55,15 +85,32 @@ def count_of(text: Column, characters: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
+def alternatives(phrases: tuple[str, ...]) -> str:
+    """A regular expression for any of the phrases."""
+    return "|".join(re.sub(r"([\\.^$*+?{}\[\]|()])", r"\\\1", p) for p in phrases)
+
+
 def line_verdicts(lines: Column, rules: QualityRules) -> Column:
-    """For each line, whether no rule removes it; lines without a word stay."""
+    """For each line, whether no rule removes it; lines without a word stay.
+
+    Punctuation: a mark of any script ends the line (a letter, in scripts without such
+    marks), and symbols are few. Navigation: separators are few, no arrow ends the line but a
+    quotation mark that was opened, and no menu word stands alone or before
+    a separator. Boilerplate: a short line holds none of its phrases.
+    """
 
-    def passes(line: Column) -> Column:
-        bare = F.trim(line, F.lit(WS))
-        good = line.rlike(TERMINAL) & (count_of(bare, SYMBOLS) <= rules.max_line_symbols * F.length(bare)) & (count_of(bare, "|»·") < rules.max_separators) & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE)
-        return (bare == "") | good
+    menu_word, phrase = f"^({alternatives(rules.navigation)})\\s*{AFTER}$", alternatives(rules.boilerplate)
 
-    return F.transform(lines, passes)
+    def passes(bare: Column) -> Column:
+        last, low = F.right(bare, F.lit(1)), F.lower(bare)
+        ended = F.contains(F.lit(TERMINAL), last) | last.between(*UNMARKED)
+        arrow = F.contains(F.lit(ARROWS), last) & (F.instr(bare, "«") == 0) & (F.instr(bare, "‹") == 0)
+        symbols = count_of(bare, SYMBOLS) <= rules.max_line_symbols * F.length(bare)
+        menu = count_of(bare, SEPARATORS) < rules.max_separators
+        said = (F.length(bare) <= rules.max_phrase_chars) & (low.rlike(menu_word) | low.rlike(phrase))
+        return (bare == "") | (ended & ~arrow & symbols & menu & ~said)
+
+    return F.transform(F.transform(lines, lambda x: F.trim(x, F.lit(WS))), passes)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -106,7 +153,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "lost_chars"]
 
-ORACLE = r"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT rid, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
 win AS (SELECT rid, i, w[i:i + 4] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
@@ -114,14 +165,15 @@ rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) A
 cov AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM rep) GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
 j AS (SELECT rid, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+k AS (SELECT *, right(bare, 1) AS last, lower(bare) AS low FROM j),
 v AS (SELECT rid, line, bare,
         length(regexp_replace(bare, '[\x20\x09-\x0D]', '', 'g')) AS n,
-        bare = '' OR (regexp_matches(line, '[.!?:;"'')\x{2026}\x{00BB}\x{201D}][\x20\x09-\x0D]*$')
-          AND length(regexp_replace(bare, '[^#*$%&|<>]', '', 'g')) <= 0.10::DOUBLE * length(bare)
-          AND length(regexp_replace(bare, '[^|\x{00BB}\x{00B7}]', '', 'g')) < 3
-          AND NOT regexp_matches(line, '^\s*(?i:home|menu|login|log in|sign in|sign up|register|next|previous|back to top|search|site map|contact us|about us)\s*([|>/-].*)?$')
-          AND NOT regexp_matches(line, '(?i:all rights reserved|privacy policy|cookie policy|use of cookies|terms of (use|service)|enable javascript|lorem ipsum|click here|subscribe to our)')) AS good
-      FROM j),
+        bare = '' OR ((contains({_quoted(TERMINAL)}, last) OR last BETWEEN chr(3584) AND chr(3839))
+          AND NOT (contains({_quoted(ARROWS)}, last) AND NOT contains(bare, '«') AND NOT contains(bare, '‹'))
+          AND length(regexp_replace(bare, '[^{SYMBOLS}]', '', 'g')) <= 0.10::DOUBLE * length(bare)
+          AND length(regexp_replace(bare, '[^{SEPARATORS}]', '', 'g')) < 3
+          AND NOT (length(bare) <= 300 AND (regexp_matches(low, {_quoted(f"^({alternatives(NAVIGATION)})")} || '\s*{AFTER}$') OR regexp_matches(low, {_quoted(alternatives(BOILERPLATE))})))) AS good
+      FROM k),
 s AS (SELECT rid, count(*) FILTER (bare <> '') - count(DISTINCT line) FILTER (bare <> '') AS n_dup_lines,
         count(*) FILTER (NOT good) AS n_lines_removed, coalesce(sum(n) FILTER (NOT good), 0)::BIGINT AS lost_chars FROM v GROUP BY rid),
 b AS (SELECT doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
