@@ -12,13 +12,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import text_blocks, text_spans
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "login_url")
@@ -38,7 +38,10 @@ _ACCOUNT_CUES = ("IBAN", "iban", "account", "Account", "acct", "Acct", "Konto",
 _SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "passwd")
 
 
-def _automaton() -> ahocorasick.Automaton:
+@lru_cache(1)
+def _automaton():
+    import ahocorasick  # only here: without it the other operators work
+
     auto = ahocorasick.Automaton()
     for digit in "0123456789":
         auto.add_word(digit, ("digit", 1))
@@ -52,9 +55,6 @@ def _automaton() -> ahocorasick.Automaton:
     return auto
 
 
-_auto: ahocorasick.Automaton | None = None
-
-
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -70,12 +70,9 @@ def iban(text: str) -> bool:
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order, as code points with the end exclusive."""
-    global _auto
-    if _auto is None:
-        _auto = _automaton()
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (what, length) in _auto.iter(text):
+    for last, (what, length) in _automaton().iter(text):
         start, stop = last + 1 - length, last + 1
         if what == "digit":
             if start >= done["card"] and (m := _CARD.match(text, start)):
@@ -146,23 +143,24 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ignored. Texts of any length are read whole.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                found = find_spans(text or "")
-                base = hashlib.sha256(join_spans(found, BASE).encode()).hexdigest()
-                out.append((doc, *(len(found[k]) for k in BASE), base, join_spans(found, KINDS), sum(map(len, found.values()))))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text_blocks(batch, "text"):
+                part = batch.slice(lo, hi - lo)
+                spans = [find_spans(t or "") for t in part.column("text").to_pylist()]
+                counts = [pa.array([len(found[k]) for found in spans]) for k in BASE]
+                base = pa.array([hashlib.sha256(join_spans(found, BASE).encode()).hexdigest() for found in spans])
+                every = [pa.array([join_spans(found, KINDS) for found in spans]), pa.array([sum(map(len, found.values())) for found in spans])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, base, *every], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The table with its text redacted; a null text stays null."""
+    """The table with its text redacted; a null text stays null, the other columns pass through, an empty table stays empty."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(redact)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([redact(t) for t in texts.slice(lo, hi - lo).to_pylist()], pa.string()) for lo, hi in text_spans(texts)] or [pa.array([], pa.string())])
 
-    return bounded_batches(df).withColumn(text_col, run(F.col(text_col).cast("string")))
+    return df.withColumn(text_col, run(F.col(text_col).cast("string")))
