@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, text_blocks, text_bytes, word_hashes
+from .common import crc_mod, text_blocks, text_bytes, text_spans, word_hashes
 
-#: Labelled rows learned from at most, by the order of a hash of their ids; a document's label is the least of its rows.
+#: Labelled ids learned from at most, by the order of a hash of them. An id's label and statistics are the least of its rows.
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, LEAST = 64, 60, 4, 0.15, 12
 THRESHOLD = 0.3
@@ -196,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     lab = labels.select(F.col("doc_id").cast("long").alias("__tf_id"), F.col("quality").cast("int").alias("__tf_y")).where("__tf_id IS NOT NULL AND __tf_y IS NOT NULL")
     lab = lab.where(crc_mod("__tf_id", 5) != 0).groupBy("__tf_id").agg(F.min("__tf_y").alias("__tf_y"))
     lab = lab.orderBy(F.xxhash64("__tf_id"), "__tf_id").limit(sample)
-    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("__tf_id"), F.col(text_col).cast("string").alias("__tf_t"))
+    docs = documents.select(F.col(id_col).cast("long").alias("__tf_id"), F.col(text_col).cast("string").alias("__tf_t"))
     rows = docs.join(F.broadcast(lab), "__tf_id").select("__tf_id", "__tf_y", "__tf_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +206,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 made = features(part.column("__tf_t"))
                 yield pa.RecordBatch.from_arrays([part.column("__tf_id"), part.column("__tf_y"), pa.array(list(made))], ["id", "y", "x"])
 
-    made = rows.mapInArrow(run, "id long, y int, x array<double>").toPandas()
-    made["key"] = [tuple(v) for v in made["x"]]
-    made = made.sort_values(["id", "key"], kind="stable")
-    x = np.array(made["x"].tolist(), float).reshape(len(made), len(NAMES))
-    return learn(x, made["y"].to_numpy(float))
+    made = rows.mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("id")
+    x = np.array(made.column("x").to_pylist(), float).reshape(made.num_rows, len(NAMES))
+    return learn(x, made.column("y").to_numpy().astype(float))
 
 
 def score(documents: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +221,7 @@ def score(documents: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
                 made = trees.scores(features(part.column("t")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
@@ -234,13 +232,11 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that the classifier does not reject, with all their columns: one pass, without a join."""
+    """The rows that the classifier does not reject, with all their columns: one pass, no join, and only texts go through Python."""
     trees = train(documents, labels, id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in text_blocks(batch, text_col):
-                part = batch.slice(lo, hi - lo)
-                yield part.filter(pa.array(trees.scores(features(part.column(text_col))) >= THRESHOLD))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, bool), *(trees.scores(features(texts.slice(lo, hi - lo))) >= THRESHOLD for lo, hi in text_spans(texts))]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.where(good(F.col(text_col).cast("string")))
