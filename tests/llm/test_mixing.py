@@ -60,3 +60,31 @@ def test_mix(documents, monkeypatch):
     key = ["doc_id", "source", "size", "taken"]
     assert got[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
     assert m.mix_sources(documents(rows).limit(0)).collect() == []
+
+
+def test_repeated_rows_fill_no_block(documents, monkeypatch):
+    """30,000 rows of one null id and size, and 5,000 of another: no flight sees more than its block, and the mix stays near its targets."""
+    real = m._flight
+
+    def flight(level, last):
+        run = real(level, last)
+        return lambda pdf: run(pdf) if len(pdf) <= 300 else 1 / 0
+
+    monkeypatch.setattr(m, "_flight", flight)
+    monkeypatch.setattr(m, "BLOCK", 200)
+    monkeypatch.setattr(m, "FAN", 100)
+    rng = np.random.default_rng(4)
+    df = documents([(i, "w " * int(rng.integers(1, 60)), "en", "hot") for i in range(1000)] + [(None, "x y z", "en", "hot"), (7, "x y", "en", "b")])
+    df = df.withColumn("k", m.F.explode(m.F.expr("IF(doc_id IS NULL, sequence(1, 30000), IF(doc_id = 7 AND source = 'b', sequence(1, 5000), array(1)))"))).drop("k")
+    got = m.mix_sources(df).toPandas()
+    assert len(got) == 36_000 and (got["taken"] <= 3 * got["size"]).all()
+    for _, mine in got.groupby("source"):
+        assert abs(mine["taken"].sum() - mine["target"].iloc[0]) <= 0.001 * mine["target"].iloc[0] + 2
+    none = got[got["doc_id"].isna()]["copies"]
+    assert len(none) == 30_000 and none.max() - none.min() <= 1
+
+
+def test_too_many_sources(documents, monkeypatch):
+    monkeypatch.setattr(m, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        m.mix_sources(documents([(i, "x", "en", f"s{i}") for i in range(3)]))

@@ -6,6 +6,10 @@ the balance constraints (documents and words) until all but two are 0 or 1; it
 runs in blocks of bounded size, then over what the blocks left, and so on until
 one block is left for each source. There the largest open units wait; the landing
 phase tries all outcomes of these and the last two and takes the best balanced one.
+
+Rows that repeat an id and a size are exchangeable: m of them want m times the
+fraction, whole ones of which are certain, and are one unit with the rest as its
+fraction. So no block grows with repeats, and the rows are dealt out again at the end.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import WS_CLASS, Written, by_size
 
 BLOCK, FAN, LANDING, SEED = 2000, 500, 14, 20
-UNITS = "doc_id long, sidx int, size long, block long, prob double"
+#: One task orders the sources (one row each); more than this many are an error.
+MOST_SOURCES = 5_000_000
+UNITS = "doc_id long, sidx int, size long, n long, extra long, block long, prob double"
 
 
 def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -106,7 +112,7 @@ def _flight(level: int, last: bool):
             land(prob, size, [*waits.tolist(), *left.tolist()])
         else:
             fly(prob, size, rng)
-        return pdf.assign(prob=prob)[["doc_id", "sidx", "size", "block", "prob"]]
+        return pdf.assign(prob=prob)[[x.split()[0] for x in UNITS.split(", ")]]
 
     return run
 
@@ -115,21 +121,26 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row for each row: doc_id, source, size, source_size, target, copies, taken = copies * size.
 
     Null texts and texts without a word have size 0 and take nothing; a null
-    source is a source of its own, last in order. Each row is a unit, so
-    repeated rows are drawn one by one, in an order that depends on their
-    values alone: reruns agree. An empty table gives no rows. Other columns are
-    ignored. No source is gathered in one task, however large.
+    source is a source of its own, last in order. Rows that repeat an id (or a null id) and a size
+    are told apart by nothing: as many of them as are due take one copy
+    more. The order depends on values alone, so reruns agree. An empty table gives no rows. Other columns are
+    ignored. No source and no group of repeated rows is gathered in one task, however large.
     """
-    units = Written(sizes(df, id_col, text_col, source_col), "sizes").df
-    per = Written(targets(units), "targets").df
-    n_sources, most = per.agg(F.count(F.lit(1)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
+    units = Written(sizes(df, id_col, text_col, source_col), "sizes")
+    n_sources = units.df.select("source").distinct().count()
+    if n_sources > MOST_SOURCES:
+        raise ValueError(f"{n_sources} sources are too many to order in one task")
+    per = Written(targets(units.df), "targets").df
+    most = per.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
     small = by_size(per.withColumnRenamed("source", "source2"), n_sources * 4)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = units.join(small, F.col("source").eqNullSafe(F.col("source2"))).withColumn("rate", rate)
-    blocks = F.ceil(F.col("n_docs") / BLOCK)
-    hashed = F.xxhash64("doc_id", "size", F.lit(SEED))
-    open_ = joined.select("doc_id", "sidx", "size", F.pmod(hashed, blocks).cast("long").alias("block"), (F.col("rate") - F.floor("rate")).alias("prob"))
-    open_, settled, level, n_blocks = open_.where("size > 0"), [], 0, -(-most // BLOCK)
+    joined = units.df.join(small, F.col("source").eqNullSafe(F.col("source2"))).withColumn("rate", rate)
+    share = F.when(F.col("size") > 0, F.col("n") * (F.col("rate") - F.floor("rate"))).otherwise(0.0)
+    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.ceil(F.col("n_docs") / BLOCK)).cast("long")
+    same = joined.groupBy("sidx", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"), F.first("n_docs").alias("n_docs")).withColumn("share", share)
+    wanted = Written(same.select("doc_id", "sidx", "size", "n", F.floor("share").alias("extra"), block.alias("block"), (F.col("share") - F.floor("share")).alias("prob")), "units")
+    units.drop()
+    open_, settled, level, n_blocks = wanted.df.where("prob > 0"), [wanted.df.where("prob = 0")], 0, -(-most // BLOCK)
     while True:
         last = n_blocks <= 1
         flown = open_.withColumn("order", F.xxhash64("doc_id", "size", F.lit(SEED + 1))).groupBy("sidx", "block").applyInPandas(_flight(level, last), UNITS)
@@ -142,8 +153,21 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     picks = settled[0]
     for more in settled[1:]:
         picks = picks.unionByName(more)
-    none = joined.where("size <= 0").select("doc_id", "sidx", "size", F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("prob"))
+    picks = picks.select("doc_id", "sidx", "size", "n", (F.col("extra") + F.col("prob")).cast("long").alias("extra"))
+    rows = _dealt(picks, wanted.df.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0])
     back = by_size(per.withColumnRenamed("sidx", "sidx2"), n_sources * 4)
-    whole = picks.unionByName(none).join(back, F.col("sidx") == F.col("sidx2")).withColumn("rate", rate)
-    copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("prob")).otherwise(0).cast("long")
+    whole = rows.join(back, F.col("sidx") == F.col("sidx2")).withColumn("rate", rate)
+    copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("more")).otherwise(0).cast("long")
     return whole.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _dealt(picks: DataFrame, most: int) -> DataFrame:
+    """A row for each of the n rows of a unit; `more` is 1 for `extra` of them. Large units are cut into parts, which any task can deal out."""
+    if most <= 1:
+        return picks.withColumn("more", F.col("extra"))
+    if most > BLOCK:
+        picks = picks.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long")))).repartition("sidx", "doc_id", "size", "lo")
+    else:
+        picks = picks.withColumn("lo", F.lit(0).cast("long"))
+    k = F.explode(F.sequence("lo", F.least(F.col("n"), F.col("lo") + BLOCK) - 1))
+    return picks.withColumn("k", k).withColumn("more", (F.col("k") < F.col("extra")).cast("long"))
