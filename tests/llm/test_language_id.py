@@ -3,7 +3,7 @@ import random
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from tideframe.llm import language_id as li
 
@@ -27,38 +27,88 @@ def test_held_out(documents):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+PIECES = li._pieces(li.default_path())
+KNOWN = {PIECES.id_to_piece(k): k for k in range(PIECES.get_piece_size()) if not (PIECES.is_control(k) or PIECES.is_unknown(k) or PIECES.is_byte(k))}
+
+
+def table(rows):
+    return pa.table({"lang": [r[0] for r in rows], "piece": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.float64())})
+
+
+def two_languages():
+    return li.Model.of(table([("en", k, float(k % 7)) for k in range(300, 30_000, 3)] + [("fr", k, float(k % 5)) for k in range(300, 30_000, 2)]), li.default_path())
+
+
+def segmentations(rest):
+    """Every way to write the rest in pieces and uncovered code points."""
+    if not rest:
+        yield []
+    for n in range(1, len(rest) + 1):
+        if rest[:n] in KNOWN:
+            yield from ([KNOWN[rest[:n]], *more] for more in segmentations(rest[n:]))
+        if n == 1:
+            yield from ([None, *more] for more in segmentations(rest[1:]))
+
+
+def probability(segmentation, probs):
+    return math.prod(li.UNSEEN if k is None else probs[k] for k in segmentation)
+
+
+WORDS = ["the", "vallée", "a", "traversen", "ß", "漢字", "हिन्दी"]
+
+
 def test_forward_sums_all_segmentations():
-    counts = pd.DataFrame([("en", k, float(k % 7)) for k in range(300, 30_000, 3)] + [("fr", k, float(k % 5)) for k in range(300, 30_000, 2)], columns=["lang", "piece", "n"])
-    model = li.Model.of(counts, li.default_path())
-    scorer, pieces = model.scorer(), li._pieces(li.default_path())
-    known = {pieces.id_to_piece(k): k for k in range(pieces.get_piece_size()) if not (pieces.is_control(k) or pieces.is_unknown(k) or pieces.is_byte(k))}
-
-    def total(rest, lang):
-        if not rest:
-            return 1.0
-        found = li.UNSEEN * total(rest[1:], lang)
-        for n in range(1, min(len(rest), scorer.longest) + 1):
-            if rest[:n] in known:
-                found += model.logs[known[rest[:n]], lang] * total(rest[n:], lang)
-        return found
-
-    words = ["the", "vallée", "a", "traversen", "ß", "漢字"]
-    got = scorer.words(words)
-    for k, w in enumerate(words):
+    model = two_languages()
+    got = model.scorer().words(WORDS)
+    for k, w in enumerate(WORDS):
         for lang in range(2):
-            assert math.isclose(got[k, lang], math.log(total("▁" + w, lang)), rel_tol=1e-9)
+            assert math.isclose(got[k, lang], math.log(sum(probability(x, model.probs[:, lang]) for x in segmentations("▁" + w))), rel_tol=1e-9)
+
+
+def test_expected_counts():
+    probs = two_languages().probs[:, 0]
+    times = np.arange(1.0, len(WORDS) + 1)
+    want = np.zeros(len(probs))
+    for w, n in zip(WORDS, times):
+        ways = [(x, probability(x, probs)) for x in segmentations("▁" + w)]
+        for x, p in ways:
+            for k in x:
+                if k is not None:
+                    want[k] += n * p / sum(q for _, q in ways)
+    assert np.allclose(li._vocabulary(li.default_path()).lattice(WORDS).expected(probs, times), want, rtol=1e-9, atol=1e-12)
+
+
+def test_words_of_any_length(monkeypatch):
+    """A word without end neither underflows nor is cut; rescaling changes nothing."""
+    model = two_languages()
+    words = ["漢字仮名" * 2500, "abc" * 7000, "xyzzyxqqj" * 4, "traversent"]
+    got = model.scorer().words(words)
+    assert np.isfinite(got).all()
+    twice = model.scorer().words(["漢字仮名" * 5000])
+    assert np.allclose(twice[0], 2 * got[0], rtol=1e-3)
+    expected = li._vocabulary(model.path).lattice(words).expected(model.probs[:, 0], np.ones(4))
+    assert np.isfinite(expected).all() and expected.sum() > 5000
+    for stride in (1, 5):
+        monkeypatch.setattr(li, "STRIDE", stride)
+        assert np.allclose(model.scorer().words(words), got, rtol=1e-9)
+        assert np.allclose(li._vocabulary(model.path).lattice(words).expected(model.probs[:, 0], np.ones(4)), expected, rtol=1e-6)
+
+
+def test_letters():
+    assert li.letters("हिन्दी में Ünïted e\u0301t 12²½_x-ray, İstanbul") == ["हिन्दी", "में", "ünïted", "e\u0301t", "x", "ray", "i\u0307stanbul"]
+    assert li.letters("12 ² ½ Ⅷ _ \u0301") == [] and li.letters(None) == []
+    assert li.letters("a" * 100) == ["a" * 100]
 
 
 def test_memo_bound_changes_nothing(monkeypatch):
-    counts = pd.DataFrame([("en", k, 1.0) for k in range(300, 3000)], columns=["lang", "piece", "n"])
-    model = li.Model.of(counts, li.default_path())
-    words = [["a", "bc", "def"], ["gh", "a"], ["x", "y", "z", "a"]]
-    want = [model.scorer().text(w) for w in words]
+    model = li.Model.of(table([("en", k, 1.0) for k in range(300, 3000)]), li.default_path())
+    words = [["a", "bc", "def"], ["gh", "a"], ["x", "y" * 150, "z", "a"]]
+    want = [li.Scorer(model).text(w) for w in words]
     monkeypatch.setattr(li, "MEMO_WORDS", 3)
-    one = model.scorer()
+    one = li.Scorer(model)
     for w in words:
         one.learn_block([w])
-    assert np.allclose([one.text(w) for w in words], want)
+    assert np.allclose([one.text(w) for w in words], want) and model.scorer() is model.scorer()
 
 
 def test_nothing_to_learn(documents):

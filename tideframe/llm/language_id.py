@@ -3,32 +3,39 @@
 Each language has a probability for every piece of a fixed public vocabulary.
 The probability of a word is the sum over all its segmentations into pieces,
 by the forward algorithm a[e] = sum over l of a[e - l] * p(piece of length l
-that ends at e); a text's is the product over its words. The forward pass runs
-over all new words of a block at once; words seen before are remembered.
+that ends at e); a text's is the product over its words. The probabilities are
+learned from expected counts: each piece of each segmentation of a word counts
+with the segmentation's share, by forward and backward passes, all pieces being
+equally likely at first.
+
+The passes run over all new words of a block at once; states are rescaled as
+they go, so words have no greatest length. Words seen before are remembered.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod
+from .common import crc_mod, text_blocks
 
-#: Code points of a word that are segmented together; a longer run of letters is cut into runs of this size.
-RUN = 30
-#: Words a worker remembers before it starts anew, and words it gathers before it counts their pieces.
-MEMO_WORDS, GATHER_WORDS = 250_000, 150_000
+#: Words a worker remembers before it starts anew (none longer than LONG code points), and words it gathers before it counts their pieces.
+MEMO_WORDS, LONG, GATHER_WORDS = 250_000, 100, 150_000
+#: Words and code points that one pass takes together (a longer word is a pass of its own); steps after which states are rescaled.
+PASS_WORDS, PASS_CHARS, STRIDE = 20_000, 1 << 18, 16
 #: Probability of a code point that no piece covers, in every language; added to each piece's count.
 UNSEEN, ADDED = 1e-8, 0.05
 
-_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % RUN)
 _B, _SHIFT = np.uint64(0x9E3779B97F4A7C55), np.uint64(44)
 
 
@@ -38,170 +45,260 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def letters(text: str | None) -> list[str]:
-    """The runs of letters of a text, in lower case."""
-    return _LETTERS.findall(text.lower()) if text else []
+def _class(kinds: str) -> str:
+    """A regular expression's class of all code points whose category starts with one of the letters."""
+    points = [c for c in range(0x30000) if unicodedata.category(chr(c))[0] in kinds]
+    starts = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+@lru_cache(1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A word: a letter, then letters, combining marks and joiners; what a piece can be of one."""
+    inner = f"[{_class('LM')}\\u200c\\u200d]*"
+    return re.compile(f"[{_class('L')}]{inner}"), re.compile(f"▁?{inner}")
 
 
-_models: dict = {}
+def letters(text: str | None) -> list[str]:
+    """The runs of letters, with their marks, of a text, in lower case."""
+    return _patterns()[0].findall(text.lower()) if text else []
 
 
+@lru_cache(2)
 def _pieces(path: str):
-    if path not in _models:
-        import sentencepiece
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class Vocabulary:
+    """The pieces that words can hold, as hashes sorted by length of piece."""
+
+    def __init__(self, path: str):
+        pieces, tables = _pieces(path), {}
+        self.size = pieces.get_piece_size()
+        for k in range(self.size):
+            text = pieces.id_to_piece(k)
+            if not (pieces.is_control(k) or pieces.is_unknown(k) or pieces.is_byte(k)) and _patterns()[1].fullmatch(text):
+                tables.setdefault(len(text), []).append((self._hash(text), k))
+        self.tables = {n: (np.array([h for h, _ in sorted(t)], np.uint64), np.array([k for _, k in sorted(t)], np.int32)) for n, t in tables.items()}
+        self.flags = np.zeros(1 << 20, bool)  # which leading bits some piece has: most stretches are no piece
+        for keys, _ in self.tables.values():
+            self.flags[keys >> _SHIFT] = True
+        self.longest = max(self.tables, default=1)
 
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _models[path]
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(_B) + ord(c) + 1) & ((1 << 64) - 1)
+        return h
+
+    def batches(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Spans of words that a pass takes together."""
+        lo = total = 0
+        for hi, word in enumerate(words):
+            if hi > lo and (hi - lo >= PASS_WORDS or total + len(word) > PASS_CHARS):
+                yield lo, hi
+                lo, total = hi, 0
+            total += len(word)
+        if lo < len(words):
+            yield lo, len(words)
+
+    def lattice(self, words: list[str]) -> Lattice:
+        return Lattice(self, words)
 
 
-def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> "Model":
-    """Piece counts by language over all documents outside the held-out fold (crc32 of the id modulo 3 is not 1).
+@lru_cache(2)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
-    Workers count words, then pieces of the distinct words; what reaches the
+
+class Lattice:
+    """All segmentations of some words: for each place and length, the piece that starts there.
+
+    A word has one state more than code points (with the mark of a word's start).
+    States hold value and logarithm of scale, so that nothing under- or overflows.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+        marked = ["▁" + w for w in words]
+        self.longest = vocabulary.longest
+        self.size = np.fromiter(map(len, marked), np.int64, len(marked))
+        flat = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        left = np.repeat(self.start + self.size, self.size) - np.arange(len(flat))  # code points from here to the word's end
+        self.ids, hashes = [], flat.copy()
+        for n in range(1, self.longest + 1):
+            if n > 1:
+                hashes = hashes[: max(len(flat) - n + 1, 0)] * _B + flat[n - 1 :]
+            ids = np.full(len(flat), -1, np.int32)
+            if n in vocabulary.tables and len(hashes):
+                keys, pieces = vocabulary.tables[n]
+                may = np.flatnonzero((left[: len(hashes)] >= n) & vocabulary.flags[hashes >> _SHIFT])
+                at = np.minimum(np.searchsorted(keys, hashes[may]), len(keys) - 1)
+                same = keys[at] == hashes[may]
+                ids[may[same]] = pieces[at[same]]
+            self.ids.append(ids)
+        self.base = self.start + np.arange(len(words))
+        self.order = np.argsort(-self.size, kind="stable")
+        self.upto = np.searchsorted(-self.size[self.order], -np.arange(1, int(self.size.max(initial=0)) + 1), side="right")
+
+    def _sweep(self, probs: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Values and scales of all states, from the words' starts, or from their ends."""
+        value = np.zeros((int((self.size + 1).sum()), probs.shape[1]))
+        scale = np.zeros_like(value)
+        sign = -1 if back else 1
+        origin = self.base + (self.size if back else 0)
+        value[origin] = 1.0
+        for step in range(1, len(self.upto) + 1):
+            mine = self.order[: self.upto[step - 1]]
+            here = origin[mine] + sign * step
+            total = value[here - sign] * UNSEEN
+            for n in range(1, min(step, self.longest) + 1):
+                ids = self.ids[n - 1][self.start[mine] + (self.size[mine] - step if back else step - n)]
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    total[hit] += value[here[hit] - sign * n] * probs[ids[hit]]
+            value[here] = total
+            scale[here] = scale[here - sign]
+            if step % STRIDE == 0:
+                for n in range(min(step, self.longest) + 1):
+                    value[here - sign * n] /= total
+                    scale[here - sign * n] += np.log(total)
+        return value, scale
+
+    def logs(self, probs: np.ndarray) -> np.ndarray:
+        """Log-probability of each word by column of the probabilities, summed over all its segmentations."""
+        value, scale = self._sweep(probs, False)
+        end = self.base + self.size
+        return np.log(value[end]) + scale[end]
+
+    def expected(self, probs: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, each word as often as `times` says."""
+        (ahead, up), (behind, down) = self._sweep(probs[:, None], False), self._sweep(probs[:, None], True)
+        end, out = self.base + self.size, np.zeros(len(probs))
+        whole = np.log(ahead[end, 0]) + up[end, 0]
+        word = np.repeat(np.arange(len(self.size)), self.size)
+        state = np.arange(len(word)) + word
+        for n, ids in enumerate(self.ids, 1):
+            at = np.flatnonzero(ids >= 0)
+            a, b, w = state[at], state[at] + n, word[at]
+            share = ahead[a, 0] * probs[ids[at]] * behind[b, 0] * np.exp(up[a, 0] + down[b, 0] - whole[w])
+            out += np.bincount(ids[at], share * times[w], len(probs))
+        return out
+
+
+def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> Model:
+    """Expected piece counts by language over all documents outside the held-out fold (crc32 of the id modulo 3 is not 1).
+
+    Workers count words, then expect pieces of the distinct words; what reaches the
     driver is one row for each language and piece, bounded by the vocabulary.
     """
     path = path or default_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _pieces(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path)
+        even = np.full(vocabulary.size, 1.0 / vocabulary.size)
         words: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
 
         def settle() -> None:
             for lang, counter in words.items():
-                total = sums.setdefault(lang, np.zeros(model.get_piece_size()))
-                for made, n in zip(model.encode(list(counter), num_threads=1), counter.values()):
-                    for piece in made:
-                        total[piece] += n
+                total, some = sums.setdefault(lang, np.zeros(vocabulary.size)), list(counter)
+                for lo, hi in vocabulary.batches(some):
+                    total += vocabulary.lattice(some[lo:hi]).expected(even, np.array([counter[w] for w in some[lo:hi]], float))
             words.clear()
 
-        for frame in frames:
-            for lang, text in zip(frame["lang"], frame["text"]):
-                words.setdefault(lang, Counter()).update(letters(text))
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for lo, hi in text_blocks(batch, "text"):
+                for lang, text in zip(langs[lo:hi], batch.column("text").slice(lo, hi - lo).to_pylist()):
+                    words.setdefault(lang, Counter()).update(letters(text))
                 if sum(map(len, words.values())) > GATHER_WORDS:
                     settle()
         settle()
         for lang, total in sums.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "piece": at, "n": total[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "piece", "n"])
 
-    rows = bounded_batches(documents).where(F.col(lang_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInPandas(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    rows = documents.where(F.col(lang_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    found = rows.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
     return Model.of(found, path)
 
 
 @dataclass
 class Model:
-    """Piece probabilities by language, and the vocabulary as hashes sorted by length of piece."""
+    """Piece probabilities by language."""
 
     langs: list[str]
-    logs: np.ndarray
+    probs: np.ndarray
     path: str
 
     @classmethod
-    def of(cls, found: pd.DataFrame, path: str) -> "Model":
-        langs = sorted(found["lang"].unique())
-        size = _pieces(path).get_piece_size()
+    def of(cls, found: pa.Table, path: str) -> Model:
+        lang = np.array(found.column("lang").to_pylist(), object)
+        piece, n = found.column("piece").to_numpy(), found.column("n").to_numpy()
+        langs, size = sorted(set(lang.tolist())), _vocabulary(path).size
         counts = np.zeros((size, len(langs)))
-        for k, lang in enumerate(langs):
-            mine = found[found["lang"] == lang]
-            counts[mine["piece"].to_numpy(), k] = mine["n"].to_numpy()
-        probs = (counts + ADDED) / (counts.sum(axis=0) + ADDED * size) if langs else counts
-        return cls(langs, probs, path)
+        for k, name in enumerate(langs):
+            counts[piece[lang == name], k] = np.round(n[lang == name], 6)  # sums differ in their last bits from run to run
+        return cls(langs, (counts + ADDED) / (counts.sum(axis=0) + ADDED * size), path)
+
+    def scorer(self) -> Scorer:
+        """A worker's scorer for this model, with the words that it remembers from other tasks."""
+        key = self.path, tuple(self.langs), hashlib.blake2b(self.probs.tobytes()).hexdigest()
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(self)
+        return _scorers[key]
 
-    def scorer(self) -> "Scorer":
-        return Scorer(self)
+
+_scorers: dict[tuple, Scorer] = {}
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, tables = model, {}
-        pieces = _pieces(model.path)
-        for k in range(pieces.get_piece_size()):
-            text = pieces.id_to_piece(k)
-            if not (pieces.is_control(k) or pieces.is_unknown(k) or pieces.is_byte(k)):
-                tables.setdefault(len(text), []).append((self._hash(text), k))
-        self.tables = {size: (np.array([h for h, _ in sorted(t)], np.uint64), np.array([k for _, k in sorted(t)])) for size, t in tables.items()}
-        self.flags = np.zeros(1 << 20, bool)  # which leading bits some piece has: most stretches are no piece
-        for keys, _ in self.tables.values():
-            self.flags[keys >> _SHIFT] = True
-        self.longest = max(self.tables, default=1)
+        self.probs, self.vocabulary = model.probs, _vocabulary(model.path)
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.langs)))
 
-    @staticmethod
-    def _hash(text: str) -> int:
-        h = 0
-        for c in text:
-            h = (h * int(_B) + ord(c) + 1) & ((1 << 64) - 1)
-        return h
-
     def words(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word by language, summed over all its segmentations."""
-        marked = ["▁" + w for w in words]
-        size = np.fromiter(map(len, marked), np.int64, len(marked))
-        flat = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-        start = np.concatenate([[0], np.cumsum(size)])
-        left = np.repeat(start[1:], size) - np.arange(len(flat))  # code points from here to the word's end
-        probs, hashes = [], flat.copy()
-        for n in range(1, self.longest + 1):
-            if n > 1:
-                hashes = hashes[: len(flat) - n + 1] * _B + flat[n - 1 :]
-            ids = np.full(len(flat), -1)
-            if n in self.tables and len(hashes):
-                keys, pieces = self.tables[n]
-                may = np.flatnonzero((left[: len(hashes)] >= n) & self.flags[hashes >> _SHIFT])
-                at = np.minimum(np.searchsorted(keys, hashes[may]), len(keys) - 1)
-                same = keys[at] == hashes[may]
-                ids[may[same]] = pieces[at[same]]
-            probs.append(ids)
-        forward = np.zeros((len(flat) + len(words), len(self.model.langs)))
-        base = start[:-1] + np.arange(len(words))  # a word has one state more than code points
-        forward[base] = 1.0
-        order = np.argsort(-size, kind="stable")
-        upto = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), side="right")
-        for end in range(1, int(size.max(initial=0)) + 1):
-            mine = order[: upto[end - 1]]
-            total = forward[base[mine] + end - 1] * UNSEEN
-            for n in range(1, min(end, self.longest) + 1):
-                ids = probs[n - 1][start[mine] + end - n]
-                hit = np.flatnonzero(ids >= 0)
-                if len(hit):
-                    total[hit] += forward[base[mine[hit]] + end - n] * self.model.logs[ids[hit]]
-            forward[base[mine] + end] = total
-        return np.log(forward[base + size])
+        """Log-probability of each word by language."""
+        found = [self.vocabulary.lattice(words[lo:hi]).logs(self.probs) for lo, hi in self.vocabulary.batches(words)]
+        return np.concatenate([np.zeros((0, self.probs.shape[1])), *found])
 
     def text(self, words: list[str]) -> np.ndarray:
+        """Log-probability of the words together."""
         try:
             at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         except KeyError:
+            long = [w for w in words if len(w) > LONG]
+            words = [w for w in words if len(w) <= LONG] if long else words
             new = [w for w in dict.fromkeys(words) if w not in self.memo]
             if len(self.memo) + len(new) > MEMO_WORDS:
                 self.memo.clear()
                 self.rows, new = self.rows[:0], list(dict.fromkeys(words))
             self.add(new)
             at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+            return self.rows[at].sum(axis=0) + self.words(long).sum(axis=0)
         return self.rows[at].sum(axis=0)
 
     def add(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            n = len(self.memo)
-            self.memo.update((w, n + k) for k, w in enumerate(part))
-            if n + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows[:n], np.zeros((max(n, len(part), 4096), self.rows.shape[1]))])
-            self.rows[n : n + len(part)] = self.words(part)
+        n = len(self.memo)
+        self.memo.update((w, n + k) for k, w in enumerate(new))
+        if n + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:n], np.zeros((max(n, len(new), 4096), self.rows.shape[1]))])
+        self.rows[n : n + len(new)] = self.words(new)
 
     def learn_block(self, texts: list[list[str]]) -> None:
         """Remember the new words of many texts together: one forward pass for all of them."""
-        new = list({w for words in texts for w in words if w not in self.memo})
+        new = list({w for words in texts for w in words if w not in self.memo and len(w) <= LONG})
         if len(self.memo) + len(new) <= MEMO_WORDS:
             self.add(sorted(new))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score for every row.
 
@@ -209,16 +306,16 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     Null texts and texts without a letter are `und` with score 0, as are all
     rows where nothing could be learned; ties go to the first language by code
     point. Repeated rows each get their result; other columns are ignored.
+    Texts are read whole, words of any length too.
     """
     langs = model.langs
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for frame in frames:
-            preds, scores = [], []
-            texts = frame["text"].tolist()
-            for lo in range(0, len(texts), 100):
-                block = [letters(t) for t in texts[lo : lo + 100]]
+        for batch in batches:
+            for lo, hi in text_blocks(batch, "text", 1 << 19):
+                part, preds, scores = batch.slice(lo, hi - lo), [], []
+                block = [letters(t) for t in part.column("text").to_pylist()]
                 scorer.learn_block(block)
                 for words in block:
                     if not words or not langs:
@@ -229,12 +326,13 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
                     best = int(logs.argmax())
                     preds.append(langs[best])
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang_pred": preds, "score": scores})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def classify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row, by what the other fold teaches."""
     made = identify(documents, learn(documents, id_col, text_col, lang_col), id_col, text_col)
     return made.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
