@@ -98,19 +98,6 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Rows that a Python worker is handed at once: with the default of 10,000, long texts would not fit.
-BATCH_ROWS = 500
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same table; the session hands Python workers at most BATCH_ROWS rows at a time from now on."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 # ---------------------------------------------------------------- text blocks
 
 
