@@ -1,8 +1,10 @@
 """The corpus pipeline: documents to a mix, in five stages, each written as Parquet and read again.
 
 Every stage works on all that the one before it kept. The first four return the
-columns of documents; the last returns the mix, one row for each document that
-it takes: doc_id, source, size, source_size, target, copies, taken.
+columns that they are given, those of documents and any others; the last returns
+the mix, one row for each document that it takes: doc_id, source, size,
+source_size, target, copies, taken. Null texts are judged as empty ones; rows that
+repeat go with the near duplicates; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -13,32 +15,25 @@ from pyspark.sql import functions as F
 from tideframe.llm import decontaminate, line_dedup, mixing, near_dup, quality_model
 from tideframe.llm.common import Written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _same_columns(df: DataFrame) -> DataFrame:
-    return df.select(*COLUMNS)
-
-
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return _same_columns(quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; n_chars follows the text."""
     left = line_dedup.drop_lines(docs, "source", "text")
-    return _same_columns(left.withColumn("n_chars", F.length("text").cast("long")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one of least doc_id."""
-    return _same_columns(near_dup.keep_first(docs))
+    return near_dup.keep_first(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or one within the allowed edits, go."""
-    return _same_columns(decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """A stage's table goes as soon as the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = Written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}").df
+        made = Written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before:
+            before.drop()
+        docs, before = made.df, made
     return docs
