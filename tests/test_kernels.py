@@ -111,6 +111,36 @@ def test_spectral_identities():
     assert (low, high) == (0.25, 2.25)
 
 
+def test_spectral_scalars_of_a_known_graph():
+    """Two edges without a common node: every spectrum is known."""
+    w = np.zeros((4, 4))
+    w[0, 1] = w[1, 0] = w[2, 3] = w[3, 2] = 1.0
+    want = {
+        "lam2": 0, "lam_max": 2, "lam2_sym": 0, "dbar": 1, "two_m": 4, "deg_cv": 0, "mu1": 1, "mu2": 0, "muN": -1, "mu1_norm": 1, "muN_norm": -1, "gap12": 1, "spread": 2, "mu_ratio": 1, "absmax": 1,
+        "n_pos": 1, "trace_pos": 1, "trace_neg": -2, "energy": 3, "frob2": 3, "spec_entropy": 3, "q_bound": 0.25, "ipr1": 0.25, "v1_deg_align": 0, "proxy_gap": 0, "proxy_norm": 0, "proxy_resid": 0,
+    }
+    menu = k.spectral_menu(w)
+    assert set(menu) - set(want) == {"iprN"}  # of a double eigenvalue
+    assert {m: menu[m] for m in want} == pytest.approx(want, abs=1e-9)
+    rng = np.random.default_rng(4)
+    w = np.triu(rng.random((9, 9)) * (rng.random((9, 9)) < 0.5), 1)
+    w += w.T + np.diag(np.zeros(9))
+    deg, menu = w.sum(axis=1), k.spectral_menu(w)
+    mu, vec = np.linalg.eigh(w - np.outer(deg, deg) / deg.sum())
+    assert menu["mu_ratio"] == pytest.approx(abs(mu[0]) / mu[-1]) and menu["v1_deg_align"] == pytest.approx(abs(vec[:, -1] @ np.sqrt(deg)) / np.sqrt(deg.sum()))
+
+
+def test_rewiring_mixes_a_large_graph():
+    n, i, j = random_graph(120, 2000, 9)
+    for seed in (0, 1):
+        a, b = k.rewired(n, i, j, seed)
+        assert (a < b).all() and len(set(zip(a.tolist(), b.tolist()))) == 2000
+        assert (np.bincount(np.concatenate([a, b]), minlength=n) == np.bincount(np.concatenate([i, j]), minlength=n)).all()
+        assert len(set(zip(a.tolist(), b.tolist())) & set(zip(i.tolist(), j.tolist()))) < 900  # by chance: some 28 % of the pairs are edges
+    one = k.rewired(5, np.array([1]), np.array([3]), 0)
+    assert (one[0].tolist(), one[1].tolist()) == ([1], [3]) and len(k.rewired(5, np.zeros(0, int), np.zeros(0, int), 0)[0]) == 0
+
+
 def test_laplacian_optimum():
     rng = np.random.default_rng(42)
     p = 10
@@ -145,6 +175,21 @@ def test_time_varying_follows_each_series():
     assert [t for t, _ in found] == list(range(29, 40)) and all((w >= 0).all() for _, w in found)
 
 
+def test_spectral_term_of_the_rolling_laplacian():
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((60, 2))
+    y = base[:, [0, 0, 0, 1, 1, 1]] + 0.4 * rng.standard_normal((60, 6))
+    across = lambda eta: sum(-es.laplacian(w, 6)[:3, 3:].sum() for _, w in es.time_varying(y, 30, 10.0, k=2, eta=eta))
+    assert across(5.0) < 0.6 * across(0.0)
+    assert es.effective_rank(es.laplacian(np.ones(15), 6)) == 5 and es.effective_rank(np.zeros((3, 3))) == 0
+
+
+def test_contiguous_start():
+    sizes = [1 + np.count_nonzero(np.diff(es.contiguous_start(4000, 50, np.random.default_rng(s)))) for s in range(300)]
+    assert 90 <= min(sizes) < 110 and 280 < max(sizes) <= 300  # 100 to 300 segments, of which some neighbours share a label
+    assert len(es.contiguous_start(3, 2, np.random.default_rng(0))) == 3
+
+
 def test_viterbi_against_all_paths():
     cost = np.random.default_rng(1).uniform(0, 5, (7, 3))
     price = lambda p: cost[np.arange(7), p].sum() + 1.5 * (np.diff(p) != 0).sum()
@@ -188,3 +233,28 @@ def test_baselines():
     assert es.macro_f1(true[few], es.dtw_kmeans(x[few], 2, 2, 0)) == 1.0 and es.macro_f1(true[few], es.dtw_kmeans(x[few], 2, 2, 0, gamma=1.0)) == 1.0
     a = np.array([[0.0], [1.0], [2.0]])
     assert es.dtw(a, a) == 0.0 and es.dtw(a, np.array([[0.0], [0.0], [1.0], [2.0]])) == 0.0
+
+
+def test_warping():
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((5, 2)), rng.standard_normal((6, 2))
+    cost = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    table = np.full((6, 7), np.inf)
+    table[0, 0] = 0
+    for i, j in itertools.product(range(5), range(6)):
+        table[i + 1, j + 1] = cost[i, j] + min(table[i, j], table[i, j + 1], table[i + 1, j])
+    assert es.dtw(a, b) == pytest.approx(table[5, 6]) and es.dtw(a, b, 1e-3) == pytest.approx(table[5, 6], abs=0.02)
+    total, on = es._warped(cost[None], 0.7)
+    for i, j in ((0, 0), (2, 3), (4, 5), (1, 4)):  # a cell's share of the soft path is the derivative by its cost
+        more = cost.copy()
+        more[i, j] += 1e-5
+        assert (es._warped(more[None], 0.7)[0][0] - total[0]) / 1e-5 == pytest.approx(on[0, i, j], abs=1e-3)
+
+
+def test_barycentres_follow_shifted_shapes():
+    rng = np.random.default_rng(6)
+    bump = lambda at: np.exp(-((np.arange(16) - at) ** 2) / 4.0)
+    x = np.array([(1 if n < 15 else -1) * bump(rng.integers(5, 11)) + 0.02 * rng.standard_normal(16) for n in range(30)])
+    true = np.repeat([0, 1], 15)
+    for gamma in (0.0, 0.1):
+        assert max(es.macro_f1(true, es.dtw_kmeans(x, 2, 1, s, gamma)) for s in range(3)) == 1.0

@@ -49,7 +49,7 @@ def learn_laplacian(s: np.ndarray, beta: float = 1.0, eta: float = 0.0, v: np.nd
     """
     p = len(s)
     i, j = np.triu_indices(p, 1)
-    target = s + (eta * v @ v.T if v is not None else 0.0)
+    target = s + (eta * v @ v.T if v is not None and eta else 0.0)
     q = target[i, i] + target[j, j] - 2 * target[i, j] + beta
     ones = np.ones((p, p)) / p
     sums = lambda w: np.bincount(i, w, p) + np.bincount(j, w, p)
@@ -58,9 +58,9 @@ def learn_laplacian(s: np.ndarray, beta: float = 1.0, eta: float = 0.0, v: np.nd
         lap = laplacian(w, p) + ones
         try:
             c = np.linalg.cholesky(lap)
+            inv = np.linalg.inv(lap)
         except np.linalg.LinAlgError:
             return np.inf, w
-        inv = np.linalg.inv(lap)
         f = float(q @ w) - 2 * float(np.log(np.diag(c)).sum())
         g = q - (inv[i, i] + inv[j, j] - 2 * inv[i, j])
         if rho:
@@ -120,14 +120,19 @@ def k_component(s: np.ndarray, k: int = 3, eta: float = 300.0, rho: float = 100.
     return lap
 
 
-def time_varying(returns: np.ndarray, window: int = 30, delta: float = 100.0, beta: float = 0.0, rho: float = 0.0) -> list[tuple[int, np.ndarray]]:
-    """(last day, weights) for every window of correlations; each is tied to the one before by delta / window."""
+def time_varying(returns: np.ndarray, window: int = 30, delta: float = 100.0, beta: float = 0.0, rho: float = 0.0, k: int = 1, eta: float = 0.0) -> list[tuple[int, np.ndarray]]:
+    """(last day, weights) for every window of correlations; each is tied to the one before by delta / window.
+
+    With eta, weight is drawn away from pairs that the k least eigenvectors of the Laplacian before (at first: of the correlations) tell apart.
+    """
     out, previous = [], None
     for t in range(window - 1, len(returns)):
         block = returns[t - window + 1 : t + 1]
         sd = block.std(axis=0)
         z = (block - block.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
-        previous = learn_laplacian(z.T @ z / window, beta=beta, rho=rho, previous=previous, gamma=delta / window if previous is not None else 0.0, start=previous, steps=300, tol=1e-5)
+        corr = z.T @ z / window
+        least = np.linalg.eigh(corr if previous is None else laplacian(previous, len(corr)))[1][:, :k] if eta else None
+        previous = learn_laplacian(corr, beta=beta, eta=eta, v=least, rho=rho, previous=previous, gamma=delta / window if previous is not None else 0.0, start=previous, steps=300, tol=1e-5)
         out.append((t, previous))
     return out
 
@@ -137,6 +142,11 @@ def fiedler(lap: np.ndarray) -> float:
     return lam if lam > 1e-8 else 0.0
 
 
+def effective_rank(lap: np.ndarray, tol: float = 1e-8) -> int:
+    """Positive eigenvalues: the nodes less the components."""
+    return int((np.linalg.eigvalsh(lap) > tol).sum())
+
+
 # ---------------------------------------------------------------- block-Toeplitz lasso and segmentation
 
 
@@ -200,26 +210,27 @@ def viterbi(cost: np.ndarray, beta: float) -> np.ndarray:
     return label
 
 
+def contiguous_start(length: int, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Labels of a random number of segments, 2k to 6k of them (fewer in a short series), each of one random label."""
+    segments = min(int(rng.integers(2 * k, 6 * k, endpoint=True)), length)
+    opens = np.zeros(length, int)
+    opens[1 + rng.permutation(length - 1)[: segments - 1]] = 1
+    return rng.integers(0, k, segments)[np.cumsum(opens)]
+
+
 def segment_once(x: np.ndarray, k: int, n: int, w: int, lam: float, beta: float, seed: int, steps: int = 30) -> tuple[float, np.ndarray]:
-    """One EM run from a random contiguous start: (penalised cost, labels)."""
-    rng = np.random.default_rng(seed)
-    cuts = np.sort(rng.choice(np.arange(1, len(x)), min(len(x) - 1, int(rng.integers(2 * k, 6 * k + 1))), replace=False))
-    label = rng.integers(0, k, len(cuts) + 1)[np.searchsorted(cuts, np.arange(len(x)), side="right")]
-    shared = x.T @ x / len(x)
-    thetas: list = [None] * k
+    """One EM run from a random contiguous start: (penalised cost, labels). A kind of too few rows keeps its matrix, or takes that of all rows."""
+    label = contiguous_start(len(x), k, np.random.default_rng(seed))
+    learned = lambda rows: toeplitz_lasso(rows.T @ rows / len(rows), lam, n, w)
+    thetas: dict[int, np.ndarray] = {}
     for _ in range(steps):
-        for c in range(k):
-            mine = x[label == c]
-            if len(mine) >= n * w + 1:
-                thetas[c] = toeplitz_lasso(mine.T @ mine / len(mine), lam, n, w, steps=200)
-            elif thetas[c] is None:
-                thetas[c] = toeplitz_lasso(shared, lam, n, w, steps=200)
-        cost = negative_log_likelihood(x, thetas)
-        new = viterbi(cost, beta)
-        same, label = bool((new == label).all()), new
-        if same:
+        sizes = np.bincount(label, minlength=k)
+        thetas = {c: learned(x[label == c]) if sizes[c] > n * w else thetas[c] if c in thetas else learned(x) for c in range(k)}
+        cost = negative_log_likelihood(x, [thetas[c] for c in range(k)])
+        before, label = label, viterbi(cost, beta)
+        if np.array_equal(before, label):
             break
-    return float(cost[np.arange(len(x)), label].sum() + beta * (label[1:] != label[:-1]).sum()), label
+    return float(cost[np.arange(len(x)), label].sum() + beta * np.count_nonzero(np.diff(label))), label
 
 
 def align(true: np.ndarray, pred: np.ndarray) -> np.ndarray:
@@ -292,8 +303,8 @@ def kmeans(x: np.ndarray, k: int, seed: int, tries: int = 10, steps: int = 100)
     return best[1]
 
 
-def mixture(x: np.ndarray, k: int, seed: int, spherical: bool = False, steps: int = 100) -> np.ndarray:
-    """Gaussian mixture by EM from k-means, full or spherical covariances."""
+def mixture(x: np.ndarray, k: int, seed: int, spherical: bool = False, steps: int = 100, floor: float = 1e-4) -> np.ndarray:
+    """Gaussian mixture by EM from k-means, full or spherical covariances; `floor` is added to every variance."""
     label, d = kmeans(x, k, seed, 3), x.shape[1]
     r = np.eye(k)[label]
     for _ in range(steps):
@@ -302,7 +313,7 @@ def mixture(x: np.ndarray, k: int, seed: int, spherical: bool = False, steps: in
         logs = np.empty((len(x), k))
         for c in range(k):
             y = x - mean[c]
-            cov = np.eye(d) * max((r[:, c] @ (y * y)).sum() / (n[c] * d), 1e-9) if spherical else (r[:, c, None] * y).T @ y / n[c] + 1e-6 * np.eye(d)
+            cov = floor * np.eye(d) + (np.eye(d) * (r[:, c] @ (y * y)).sum() / (n[c] * d) if spherical else (r[:, c, None] * y).T @ y / n[c])
             logs[:, c] = np.log(n[c] / len(x)) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,ij->i", y @ np.linalg.inv(cov), y))
         new = np.exp(logs - logs.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
@@ -312,45 +323,76 @@ def mixture(x: np.ndarray, k: int, seed: int, spherical: bool = False, steps: in
     return r.argmax(axis=1)
 
 
-def neural_gas(x: np.ndarray, k: int, seed: int, epochs: int = 20) -> np.ndarray:
-    """Centres pulled by rank of nearness, with reach and rate falling geometrically."""
+def neural_gas(x: np.ndarray, k: int, seed: int, epochs: int = 20, reach: tuple[float, float] | None = None, rate: tuple[float, float] = (0.5, 0.05)) -> np.ndarray:
+    """Centres pulled to each row shown, less by rank of nearness; reach (k / 2 to 0.5) and rate go geometrically from first to last."""
     rng = np.random.default_rng(seed)
-    centre = x[rng.choice(len(x), k, replace=False)].astype(float)
-    total, step = epochs * len(x), 0
-    for _ in range(epochs):
-        for v in x[rng.permutation(len(x))]:
-            f = step / total
-            reach, rate = (k / 2) * (0.01 / (k / 2)) ** f, 0.5 * 0.01**f
-            rank = ((centre - v) ** 2).sum(axis=1).argsort().argsort()
-            centre += (rate * np.exp(-rank / reach))[:, None] * (v - centre)
-            step += 1
+    shown = np.concatenate([rng.permutation(len(x)) for _ in range(epochs)])
+    centre = x[rng.permutation(len(x))[:k]].astype(float)
+    part = np.arange(len(shown)) / len(shown)
+    reaches, rates = (first * (last / first) ** part for first, last in (reach or (k / 2, 0.5), rate))
+    for row, width, pull in zip(x[shown], reaches, rates):
+        gap = row - centre
+        rank = np.argsort(np.argsort(np.einsum("ij,ij->i", gap, gap), kind="stable"))
+        centre += pull * np.exp(-rank / width)[:, None] * gap
     return ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
 
 
+def _warped(cost: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+    """For many cost matrices (rows, times, times): the totals of the (soft) cheapest paths, and how far each cell is on its path.
+
+    A cell is reached from the cell before on the diagonal, above or to the left; the
+    share of each is 1 for the cheapest (the first of equals), or the soft minimum's.
+    """
+    rows, n, m = cost.shape
+    total = np.full((rows, n + 1, m + 1), np.inf)
+    total[:, 0, 0] = 0.0
+    share = np.zeros((rows, n + 1, m + 1, 3))
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            three = np.stack([total[:, i - 1, j - 1], total[:, i - 1, j], total[:, i, j - 1]], axis=1)
+            low = three.min(axis=1)
+            if gamma:
+                soft = np.exp(-(three - low[:, None]) / gamma)
+                share[:, i, j] = soft / soft.sum(axis=1, keepdims=True)
+                low = low - gamma * np.log(soft.sum(axis=1))
+            else:
+                share[np.arange(rows), i, j, three.argmin(axis=1)] = 1.0
+            total[:, i, j] = cost[:, i - 1, j - 1] + low
+    on = np.zeros((rows, n + 1, m + 1))
+    on[:, n, m] = 1.0
+    for i in range(n, 0, -1):
+        for j in range(m, 0, -1):
+            here = on[:, i, j, None] * share[:, i, j]
+            on[:, i - 1, j - 1] += here[:, 0]
+            on[:, i - 1, j] += here[:, 1]
+            on[:, i, j - 1] += here[:, 2]
+    return total[:, n, m], on[:, 1:, 1:]
+
+
 def dtw(a: np.ndarray, b: np.ndarray, gamma: float = 0.0) -> float:
     """Dynamic time warping of two (time, dims) series; gamma > 0 takes the soft minimum."""
-    cost = ((a[:, None, :] - b[None]) ** 2).sum(axis=2)
-    table = np.full((len(a) + 1, len(b) + 1), np.inf)
-    table[0, 0] = 0.0
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            three = np.array([table[i - 1, j - 1], table[i - 1, j], table[i, j - 1]])
-            low = three.min()
-            table[i, j] = cost[i - 1, j - 1] + (low if not gamma else low - gamma * np.log(np.exp(-(three - low) / gamma).sum()))
-    return float(table[-1, -1])
-
-
-def dtw_kmeans(x: np.ndarray, k: int, dims: int, seed: int, gamma: float = 0.0, steps: int = 10) -> np.ndarray:
-    """Medoid clustering of rows of (time x dims) values under (soft) time warping."""
-    series = x.reshape(len(x), -1, dims)
-    d = np.array([[dtw(a, b, gamma) for b in series] for a in series])
-    medoid = np.random.default_rng(seed).choice(len(x), k, replace=False)
+    return float(_warped(((a[:, None, :] - b[None]) ** 2).sum(axis=2)[None], gamma)[0][0])
+
+
+def dtw_kmeans(x: np.ndarray, k: int, dims: int, seed: int, gamma: float = 0.0, steps: int = 10, moves: int = 3) -> np.ndarray:
+    """Barycentre clustering of rows of (time x dims) values under (soft) time warping; linear in the rows.
+
+    A centre moves to the mean of what its rows' paths align with each of its times.
+    """
+    series = x.reshape(len(x), -1, dims).astype(float)
+    centre = series[np.random.default_rng(seed).permutation(len(x))[:k]]
+    costs = lambda rows, c: ((c[None, :, None, :] - rows[:, None, :, :]) ** 2).sum(axis=3)
+    label = np.full(len(x), -1)
     for _ in range(steps):
-        label = d[:, medoid].argmin(axis=1)
-        new = np.array([np.flatnonzero(label == c)[d[np.ix_(label == c, label == c)].sum(axis=1).argmin()] if (label == c).any() else medoid[c] for c in range(k)])
-        if (new == medoid).all():
+        new = np.stack([_warped(costs(series, c), gamma)[0] for c in centre], axis=1).argmin(axis=1)
+        if (new == label).all():
             break
-        medoid = new
+        label = new
+        for c in range(k):
+            mine = series[label == c]
+            for _ in range(moves if len(mine) else 0):
+                on = _warped(costs(mine, centre[c]), gamma)[1]
+                centre[c] = np.einsum("rts,rsd->td", on, mine) / on.sum(axis=(0, 2))[:, None]
     return label
 
 
