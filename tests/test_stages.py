@@ -1,4 +1,6 @@
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tideframe.functions.safe import average_rank, corr, kurtosis_corrected, lcg, skew_corrected
@@ -71,6 +73,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(part).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
     schema = "key string, w long, x double"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"file://{tmp_path}/in/*")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = online.online_z(stream, 10).writeStream.format("memory").queryName("z").option("checkpointLocation", f"file://{tmp_path}/c").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
@@ -79,6 +82,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == 120 and np.allclose(got, want, equal_nan=True)
 
 
+@pytest.mark.parametrize("baseline", [1, 2, 4])
+def test_stream_z_of_short_baselines_and_nulls(spark, tmp_path, baseline):
+    from tideframe.operators.signals import trailing_z
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("a", w, None if w % 5 == 3 else float(w * w % 7)) for w in range(20)]
+    spark.createDataFrame(rows, "key string, w long, x double").write.parquet(f"file://{tmp_path}/r")
+    q = online.online_z(spark.readStream.schema("key string, w long, x double").parquet(f"file://{tmp_path}/r"), baseline).writeStream.format("memory").queryName(f"z{baseline}").option("checkpointLocation", f"file://{tmp_path}/c").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table(f"z{baseline}").toPandas().sort_values("w")["z"].to_numpy(float)
+    want = trailing_z(spark.createDataFrame(rows, "key string, w long, x double"), baseline, ["key"]).toPandas().sort_values("w")["z"].to_numpy(float)
+    assert np.allclose(got, want, equal_nan=True)
+    with pytest.raises(ValueError):
+        online.online_z(spark.readStream.schema("key string, w long, x double").parquet(f"file://{tmp_path}/r"), 0)
+
+
+def test_verified(spark):
+    from tideframe.plans.stages import verified
+
+    made = spark.createDataFrame([(1, 0.5, None), (2, 0.7, 1.0)], "w int, a double, b double")
+    assert verified(made, made.withColumn("a", F.col("a") + 1e-10), ["w"]).count() == 2
+    for wrong in (made.withColumn("a", F.col("a") + 1e-3), made.withColumn("b", F.lit(1.0)), made.unionByName(spark.createDataFrame([(3, 0.1, 0.1)], made.schema))):
+        with pytest.raises(ValueError):
+            verified(made, wrong, ["w"])
+
+
 def test_stream_windows(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.write.parquet(f"file://{tmp_path}/e")

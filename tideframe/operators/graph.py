@@ -38,7 +38,7 @@ def relabel_by_size(partition: DataFrame) -> DataFrame:
     """(node, comm): communities numbered by size, largest first, ties by label."""
     sizes = partition.groupBy("comm").agg(F.count(F.lit(1)).alias("size"))
     ranked = sizes.withColumn("new", (F.row_number().over(Window.orderBy(F.col("size").desc(), "comm")) - 1).cast("int"))
-    return partition.join(F.broadcast(ranked), "comm").select("node", F.col("new").alias("comm"))
+    return partition.join(ranked, "comm").select("node", F.col("new").alias("comm"))
 
 
 def lagged(partitions: DataFrame, lag: int) -> DataFrame:
@@ -46,6 +46,19 @@ def lagged(partitions: DataFrame, lag: int) -> DataFrame:
     return partitions.withColumn("w", F.col("w") + lag)
 
 
+DECAY_LAGS = (0, 1, 2, 5, 10, 20, 50, 100, 200, 500)
+
+
+def decay(edges: DataFrame, partitions: DataFrame, lags: tuple[int, ...] = DECAY_LAGS) -> DataFrame:
+    """(lag, q): mean modularity of the windows' graphs under partitions (w, node, comm) of `lag` windows before; lags longer than the series have no row."""
+    steps = edges.sparkSession.createDataFrame([(k, v) for k, v in enumerate(lags)], "place int, lag int")
+    size = len(lags)  # a graph for each window and lag
+    aged = edges.crossJoin(F.broadcast(steps)).select((F.col("w") * size + F.col("place")).alias("w"), "i", "j")
+    old = partitions.crossJoin(F.broadcast(steps)).select(((F.col("w") + F.col("lag")) * size + F.col("place")).alias("w"), "node", "comm")
+    q = modularity(mixing_matrix(aged, old)).groupBy((F.col("w") % size).alias("place")).agg(F.avg("q").alias("q"))
+    return q.join(F.broadcast(steps), "place").select("lag", "q")
+
+
 def shuffled_labels(partition: DataFrame, seed: int) -> DataFrame:
     """The same labels dealt anew to the nodes, by the order of a hash: sizes stay."""
     by_hash = Window.orderBy(F.xxhash64("node", F.lit(seed)), "node")

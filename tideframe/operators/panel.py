@@ -32,7 +32,7 @@ def calendar(prices: DataFrame) -> DataFrame:
 
 
 def with_time(prices: DataFrame) -> DataFrame:
-    return prices.join(F.broadcast(calendar(prices)), "date")
+    return prices.join(calendar(prices), "date")
 
 
 def spans(prices: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -67,7 +67,7 @@ def drop_days(prices: DataFrame) -> DataFrame:
 
 def fill(prices: DataFrame) -> DataFrame:
     """Every entity on every day: the last price before, else the first after."""
-    grid = prices.select("entity").distinct().crossJoin(F.broadcast(calendar(prices)))
+    grid = prices.select("entity").distinct().crossJoin(calendar(prices))  # the result itself: every entity on every day
     rows = grid.join(prices, ["entity", "date"], "left")
     before = F.last("price", ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("price", ignorenulls=True).over(in_time().rowsBetween(0, Window.unboundedFollowing))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .tables import DELTA_T, EVENTS, FIRST, LAST, SHARE
+from .tables import DELTA_T, EVENTS, SHARE
 
-BM = f"""bm AS (SELECT p_brand AS entity, date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice) AS price
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '{FIRST}' AND l_shipdate < TIMESTAMP '{LAST}' GROUP BY ALL)"""
-SM = f"""bm AS (SELECT l_suppkey::VARCHAR AS entity, date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice) AS price
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '{FIRST}' AND l_shipdate < TIMESTAMP '{LAST}' GROUP BY ALL)"""
+SPAN = """span AS (SELECT CASE WHEN lo = date_trunc('month', lo) THEN lo ELSE date_trunc('month', lo) + INTERVAL 1 MONTH END AS first, date_trunc('month', hi + INTERVAL 1 DAY) AS last FROM (SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem))"""
+BM = f"""{SPAN}, bm AS (SELECT p_brand AS entity, date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice) AS price
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= (SELECT first FROM span) AND l_shipdate < (SELECT last FROM span) GROUP BY ALL)"""
+SM = f"""{SPAN}, bm AS (SELECT l_suppkey::VARCHAR AS entity, date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice) AS price
+  FROM lineitem WHERE l_shipdate >= (SELECT first FROM span) AND l_shipdate < (SELECT last FROM span) GROUP BY ALL)"""
 CAL = "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM bm))"
 KEEP = "keepd AS (SELECT date FROM bm GROUP BY date HAVING count(*) = (SELECT count(DISTINCT entity) FROM bm))"
 PANEL = f"""{BM}, {CAL}, {KEEP},
@@ -24,6 +25,7 @@ nn AS (SELECT count(*) AS n FROM num)"""
 EDGES = f"""{CORR},
 budget AS (SELECT round_even({SHARE} * n * (n - 1) / 2, 0)::BIGINT AS k FROM nn),
 edges AS (SELECT w, i, j, rho FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rho DESC, i, j) AS q FROM corr) WHERE q <= (SELECT k FROM budget)),
+wins AS (SELECT DISTINCT w FROM corr),
 arcs AS (SELECT w, i AS u, j AS v FROM edges UNION ALL SELECT w, j, i FROM edges),
 deg AS (SELECT w, u AS node, count(*) AS degree FROM arcs GROUP BY ALL)"""
 PART = "part4 AS (SELECT i AS node, i % 4 AS comm FROM num)"

@@ -15,3 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, q in catalog.CATALOG.items() if (sql := q.oracle()) is not None}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network summary of a panel that is filled, however sparse."""
+    return catalog.network_summary(spark, sf_dir, "ffill")

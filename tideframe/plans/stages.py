@@ -19,13 +19,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, which all executors share; where it is unset (tests) a folder of our own."""
+    """`spark.checkpoint.dir`, which all executors share; in local mode, where it is unset (tests), a folder of our own. Elsewhere that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tideframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tideframe-"))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -41,11 +45,23 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once: a small relation that many branches read must not scan its large source in each."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tideframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def verified(df: DataFrame, stored_table: DataFrame, keys: list[str], tol: float = 1e-8) -> DataFrame:
+    """The rows again, if every number of the stored table is there within the tolerance; else an error at the row that is not."""
+    columns = [c for c in stored_table.columns if c not in keys]
+    known = stored_table.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns))
+    rows = known.join(df, keys, "left")
+    bad = [F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")) > tol, F.col(c).isNull() != F.col(f"__{c}").isNull()) for c in columns]
+    off = rows.where(F.greatest(*(b.cast("int") for b in [*bad, F.lit(False)])) == 1).limit(1).collect()
+    if off:
+        raise ValueError(f"does not reproduce the stored table: {off[0].asDict()}")
+    return df
+
+
 def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at the path if it was written whole, else made and written first."""
     if force or not _exists(spark, path):

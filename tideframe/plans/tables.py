@@ -7,13 +7,15 @@ to the shared folder: one scan of the source a query.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import network, panel
 from .stages import materialised
 
-FIRST, LAST, DELTA_T, SHARE = "1995-02-01", "2001-11-01", 12, 0.10
+DELTA_T, SHARE = 12, 0.10
 
 #: Bands inside the tables' years, as a registry of events.
 EVENTS = [
@@ -30,9 +32,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _months(rows: DataFrame, day: str, entity: str, value: str) -> DataFrame:
+def whole_months(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The first day of the first whole month of the line items, and the day after their last one."""
+    day = F.col("l_shipdate").cast("timestamp_ntz")
+    low, high = read(spark, sf_dir, "lineitem").agg(F.min(day), F.max(day)).first()
+    month = lambda d: d.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    first = month(low) if low == month(low) else month(month(low) + timedelta(days=31))
+    return str(first.date()), str(month(high + timedelta(days=1)).date())
+
+
+def _months(rows: DataFrame, day: str, entity: str, value: str, span: tuple[str, str]) -> DataFrame:
     kind = "TIMESTAMP_NTZ" if dict(rows.dtypes)[day] == "timestamp_ntz" else "TIMESTAMP"  # of the column's own type, so that the filter reaches the scan
-    kept = rows.where(f"{day} >= {kind} '{FIRST}' AND {day} < {kind} '{LAST}'")
+    kept = rows.where(f"{day} >= {kind} '{span[0]}' AND {day} < {kind} '{span[1]}'")
     return kept.groupBy(F.col(entity).cast("string").alias("entity"), F.to_date(F.date_trunc("month", day)).alias("date")).agg(F.sum(value).alias("price"))
 
 
@@ -40,11 +51,11 @@ def brand_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by brand and month."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     sales = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return materialised(_months(sales, "l_shipdate", "p_brand", "l_extendedprice"), "brand-months")
+    return materialised(_months(sales, "l_shipdate", "p_brand", "l_extendedprice", whole_months(spark, sf_dir)), "brand-months")
 
 
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialised(_months(read(spark, sf_dir, "lineitem"), "l_shipdate", "l_suppkey", "l_extendedprice"), "supplier-months")
+    return materialised(_months(read(spark, sf_dir, "lineitem"), "l_shipdate", "l_suppkey", "l_extendedprice", whole_months(spark, sf_dir)), "supplier-months")
 
 
 def panel_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> DataFrame:
@@ -57,14 +68,22 @@ def returns_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> D
 
 
 def edges_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> tuple[DataFrame, int]:
+    """The windows' edges, written once, and the number of entities."""
+    return network_of(spark, sf_dir, policy)[1:3]
+
+
+def network_of(spark: SparkSession, sf_dir: str, policy: str = "drop_days") -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """Returns, edges, the number of entities, and the list of windows, each made once."""
     rets = returns_of(spark, sf_dir, policy)
     n = rets.select("entity").distinct().count()
-    return materialised(network.top_edges(network.window_correlation(rets, DELTA_T), network.edge_budget(n, SHARE)), "edges"), n
+    edges = materialised(network.edges_of_windows(rets, DELTA_T, network.edge_budget(n, SHARE)), "edges")
+    last = rets.agg(F.max("t")).first()[0]
+    return rets, edges, n, spark.range(0 if last is None else max(last - DELTA_T + 2, 0)).select(F.col("id").alias("w"))
 
 
-def partition_of(spark: SparkSession, sf_dir: str, blocks: int = 4) -> DataFrame:
+def partition_of(spark: SparkSession, n: int, blocks: int = 4) -> DataFrame:
     """Nodes by place modulo a number: a partition that any engine makes alike."""
-    return network.numbered(returns_of(spark, sf_dir)).select(F.col("i").alias("node")).distinct().withColumn("comm", F.col("node") % blocks)
+    return spark.range(n).select(F.col("id").cast("int").alias("node"), (F.col("id") % blocks).cast("int").alias("comm"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
