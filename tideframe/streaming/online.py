@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def windowed_sums(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -16,23 +17,38 @@ def windowed_sums(stream: DataFrame, late: str = "10 minutes", size: str = "1 ho
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(window.alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def online_z(stream: DataFrame, baseline: int) -> DataFrame:
-    """(key, w, x, z): each value against up to `baseline` earlier ones of its key, null below half of them.
+class _Baseline(StatefulProcessor):
+    """The state of a key: its last `baseline` values, null ones left out, as the batch form's window does."""
 
-    The state of a key is its last `baseline` values; within a micro-batch rows
-    are taken by w, and w is expected to grow from batch to batch.
-    """
+    def __init__(self, baseline: int):
+        self.baseline = baseline
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getValueState("past", "values array<double>")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("w")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        past: list = list(self.past.get()[0]) if self.past.exists() else []
         out = []
-        for w, x in zip(rows["w"], rows["x"]):
-            tail = np.array(past[-baseline:])
-            sd = tail.std(ddof=1) if len(tail) > 1 else 0.0
-            out.append((key[0], w, x, (x - tail.mean()) / sd if len(tail) >= max(2, baseline // 2) and sd > 0 else None))
-            past = [*past[-baseline + 1 :], float(x)]
-        state.update((past,))
-        yield pd.DataFrame(out, columns=["key", "w", "x", "z"]).astype({"z": "float64"})
-
-    return stream.groupBy("key").applyInPandasWithState(step, "key string, w long, x double, z double", "past array<double>", "append", "NoTimeout")
+        batch = pd.concat(list(rows)).sort_values("w")
+        for w, x in zip(batch["w"], batch["x"]):
+            here = None if pd.isna(x) else float(x)
+            seen = np.array([v for v in past if v is not None and not np.isnan(v)])
+            sd = seen.std(ddof=1) if len(seen) > 1 else 0.0
+            out.append((key[0], w, here, (here - seen.mean()) / sd if here is not None and len(seen) >= self.baseline // 2 and sd > 0 else None))
+            past = [*past, np.nan if here is None else here][-self.baseline :]
+        self.past.update((past,))
+        yield pd.DataFrame(out, columns=["key", "w", "x", "z"]).astype({"x": "float64", "z": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def online_z(stream: DataFrame, baseline: int) -> DataFrame:
+    """(key, w, x, z): each value against up to `baseline` (1 or more) earlier ones of its key, null below half of them.
+
+    The state of a key is its last `baseline` rows; a null value stays null and adds nothing. Within a
+    micro-batch rows are taken by w, and w is expected to grow from batch to batch.
+    """
+    if baseline < 1:
+        raise ValueError("a baseline has one row or more")
+    return stream.groupBy("key").transformWithStateInPandas(_Baseline(baseline), "key string, w long, x double, z double", "Append", "None")
