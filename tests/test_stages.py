@@ -117,3 +117,14 @@ def test_stream_windows(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("sums").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_notebook_and_coordinates(spark):
+    import json
+
+    made = json.loads(files.notebook([("markdown", "# A\nb"), ("code", "print(1)")]))
+    assert [c["cell_type"] for c in made["cells"]] == ["markdown", "code"] and made["nbformat"] == 4 and made["cells"][0]["source"] == ["# A\n", "b"]
+    with pytest.raises(ValueError):
+        files.notebook([("raw", "")])
+    df = spark.createDataFrame([(2, 0.25), (1, 1 / 3), (3, None)], "x int, y double")
+    assert files.coordinates(df, "x", "y") == "\\addplot coordinates {(1,0.333333) (2,0.25)};\n"

@@ -6,6 +6,8 @@ atomic, so a reader sees all of a table or none of it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,21 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     head = f"| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}\n"
     show = lambda v: f"{v:.6g}" if isinstance(v, float) else "" if v is None else str(v)
     return head + "".join(f"| {' | '.join(show(v) for v in row)} |\n" for row in df.limit(limit).collect())
+
+
+def notebook(cells: list[tuple[str, str]]) -> str:
+    """The JSON of a notebook (format 4.5) of (kind, text) cells, kind being code or markdown; no outputs."""
+    made = []
+    for k, (kind, text) in enumerate(cells):
+        if kind not in ("code", "markdown"):
+            raise ValueError(f"unknown kind of cell {kind!r}")
+        more = {"execution_count": None, "outputs": []} if kind == "code" else {}
+        made.append({"id": f"cell-{k}", "cell_type": kind, "metadata": {}, "source": text.splitlines(keepends=True), **more})
+    return json.dumps({"cells": made, "metadata": {}, "nbformat": 4, "nbformat_minor": 5}, indent=1)
+
+
+def coordinates(df: DataFrame, x: str, y: str, digits: int = 6, limit: int = 10_000) -> str:
+    """The points of a plot for LaTeX, in order of x, rows without either left out; a plot has at most `limit` points."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y).orderBy(x, y).limit(limit).collect()
+    show = lambda v: f"{v:.{digits}g}" if isinstance(v, float) else str(v)
+    return "\\addplot coordinates {" + " ".join(f"({show(a)},{show(b)})" for a, b in rows) + "};\n"
