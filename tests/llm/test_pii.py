@@ -58,3 +58,15 @@ def test_query(documents):
     assert by[4]["spans"] == "phone:400000:400012"
     assert pii.find_pii(documents(rows).limit(0)).collect() == []
     assert pii.redact_pii(documents([(1, "a@b.cd"), (2, None)])).select("text").collect() == [("[EMAIL]",), (None,)]
+
+
+def test_redacted_tables(documents):
+    """Nulls, long and repeated rows, clashing columns, an empty table; a redacted text holds no base span any more."""
+    text = "mail a.b@x.org, call +1 (555) 123-4567 or see 10.0.0.1. " * 2000
+    df = documents([(1, text), (1, text), (2, None), (3, ""), (None, "plain")])
+    got = pii.redact_pii(df)
+    assert got.columns == df.columns and dict(got.dtypes) == dict(df.dtypes)
+    rows = sorted((r["doc_id"] or 0, r["text"]) for r in got.collect() if r["text"] is not None)
+    assert rows[0] == (0, "plain") and rows[1] == rows[2] and rows[1][1].startswith("mail [EMAIL], call [PHONE] or see [IP].") and rows[3] == (3, "")
+    assert not any(pii.find_spans(rows[1][1])[k] for k in pii.BASE)
+    assert pii.redact_pii(df.limit(0)).collect() == []
