@@ -1,6 +1,7 @@
 """Queries that read the whole of their tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tideframe.functions.safe import lcg
@@ -114,3 +115,9 @@ def test_components_against_numpy(spark):
     _, shares, loadings = studies.learning.principal_components(df, ["a", "b", "c"], 3)
     lam, vec = np.linalg.eigh(np.corrcoef(x.T))
     assert np.allclose(shares, lam[::-1] / 3) and np.allclose(np.abs(np.array(loadings)), np.abs(vec[:, ::-1]), atol=1e-6)
+
+
+def test_what_is_broadcast_is_bounded(spark):
+    assert signals.few(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError):
+        signals.few(spark.range(6), 5)

@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 from ..functions.safe import average_rank, corr, div, lcg
 
 
+#: Rows of a registry of events, and of one series (a row a date), that are broadcast; more of them are an error.
+EVENTS_BOUND, SERIES_BOUND = 10_000, 1_000_000
+
+
+def few(df: DataFrame, bound: int = EVENTS_BOUND) -> DataFrame:
+    """The table with a broadcast hint, its size checked."""
+    if df.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} rows are too many to broadcast")
+    return F.broadcast(df)
+
+
 def trailing_z(signal: DataFrame, baseline: int, keys: Sequence[str] = (), value: str = "x") -> DataFrame:
     """Adds z against the mean and deviation of up to `baseline` earlier values; null below half of them."""
     past = Window.partitionBy(*keys).orderBy("w").rowsBetween(-baseline, -1)
@@ -26,7 +37,7 @@ def trailing_z(signal: DataFrame, baseline: int, keys: Sequence[str] = (), value
 
 def event_mask(signal: DataFrame, events: DataFrame, tier: str | None = None) -> DataFrame:
     """Adds `label`: 1 if the stamp is within the band of any event (of a tier)."""
-    bands = F.broadcast((events if tier is None else events.where(F.col("tier") == tier)).select("start", "end"))
+    bands = few((events if tier is None else events.where(F.col("tier") == tier)).select("start", "end"))
     inside = signal.select("stamp").distinct().join(bands, F.col("stamp").between(F.col("start"), F.col("end")), "left_semi").withColumn("label", F.lit(1))
     return signal.join(inside, "stamp", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
@@ -64,7 +75,7 @@ def event_study(signal: DataFrame, events: DataFrame, half: int = 60) -> DataFra
     """(name, pos, pre, at_onset, post, below): z by the pre-window's population deviation; clipped events are skipped."""
     last = signal.agg(F.max("w").alias("last"))
     gap = F.abs(F.datediff("stamp", "onset"))
-    at = signal.select("w", "stamp").crossJoin(F.broadcast(events.select("name", "onset"))).groupBy("name").agg(F.min_by("w", F.struct(gap, -F.col("w"))).alias("pos"))
+    at = signal.select("w", "stamp").crossJoin(few(events.select("name", "onset"))).groupBy("name").agg(F.min_by("w", F.struct(gap, -F.col("w"))).alias("pos"))
     at = at.crossJoin(F.broadcast(last)).where((F.col("pos") >= half) & (F.col("pos") + half <= F.col("last")))
     rows = F.broadcast(at).join(signal.select("w", "x"), F.col("w").between(F.col("pos") - half, F.col("pos") + half)).withColumn("k", F.col("w") - F.col("pos"))
     base = rows.where("k < 0").groupBy("name").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
@@ -206,7 +217,7 @@ def block_bootstrap(series: DataFrame, n: int, block: int, n_boot: int, seed: in
         return series.agg(*(F.lit(None).cast("double").alias(c) for c in ("rho", "low", "high")))
     starts = draws(series.sparkSession, n_boot, blocks, seed).withColumn("s", F.floor(F.col("u") * (n - block + 1)).cast("int"))
     rows = starts.select("b", (F.col("k") * block).alias("k0"), "s", F.posexplode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o", "o2")).where(F.col("k0") + F.col("o") < n).select("b", (F.col("s") + F.col("o")).alias("w"))
-    per = rows.join(F.broadcast(series), "w").groupBy("b").agg(corr(F.col("real"), F.col("model")).alias("r"))
+    per = rows.join(few(series, SERIES_BOUND), "w").groupBy("b").agg(corr(F.col("real"), F.col("model")).alias("r"))
     band = per.agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))
     return series.agg(corr(F.col("real"), F.col("model")).alias("rho")).crossJoin(band)
 
@@ -224,6 +235,7 @@ def _by_draw(series: DataFrame, columns: Sequence[str], n: int, draw: Callable[.
 
     A series has one row a date, so it fits into one row; that row travels, not the draws times the dates.
     """
+    few(series, SERIES_BOUND)
     rows = series.agg(F.sort_array(F.collect_list(F.struct("w", *(F.col(c) for c in columns if c != "w")))).alias("s"))
     parts = series.sparkSession.range(0, -(-n // step), 1, max(1, min(-(-n // step), 64))).select((F.col("id") * step).alias("lo"))
 
@@ -346,12 +358,12 @@ def subsample(rows: DataFrame, cap: int, seed: int = 0, key: str = "w") -> DataF
 def varying(long: DataFrame, least: float = 1e-12) -> DataFrame:
     """Series of (name, w, v) that are not constant."""
     kept = long.groupBy("name").agg(F.stddev_pop("v").alias("s")).where(F.col("s") >= least)
-    return long.join(F.broadcast(kept.select("name")), "name", "left_semi")
+    return long.join(kept.select("name"), "name", "left_semi")
 
 
 def direction(signal: DataFrame, events: DataFrame, before: int = 60) -> DataFrame:
     """(name, inside, outside, ahead): means of x inside the band, outside it, and over the last rows before it."""
-    rows = signal.crossJoin(F.broadcast(events.select("name", "start", "end")))
+    rows = signal.crossJoin(few(events.select("name", "start", "end")))
     inside = F.col("stamp").between(F.col("start"), F.col("end"))
     place = F.row_number().over(Window.partitionBy("name", F.col("stamp") < F.col("start")).orderBy(F.col("stamp").desc()))
     ranked = rows.withColumn("k", place)
@@ -369,7 +381,7 @@ def detector_table(signals_long: DataFrame, events: DataFrame, baseline: int) ->
 def calibrate(calendar: DataFrame, anchors: DataFrame) -> DataFrame:
     """(n, day, place, shift) of anchors (n, day): the number, from 1, of the nearest day of a calendar of (w, stamp), ties to the later, and how far it is from n."""
     gap = F.abs(F.datediff("stamp", "day"))
-    near = calendar.select("w", "stamp").crossJoin(F.broadcast(anchors)).groupBy("n", "day").agg((F.min_by("w", F.struct(gap, -F.col("w"))) + 1).alias("place"))
+    near = calendar.select("w", "stamp").crossJoin(few(anchors)).groupBy("n", "day").agg((F.min_by("w", F.struct(gap, -F.col("w"))) + 1).alias("place"))
     return near.withColumn("shift", F.col("place") - F.col("n"))
 
 
