@@ -71,23 +71,24 @@ def test_expected_counts():
     want = np.zeros(len(probs))
     for w, n in zip(WORDS, times):
         ways = [(x, probability(x, probs)) for x in segmentations("▁" + w)]
+        total = sum(p for _, p in ways)
         for x, p in ways:
             for k in x:
                 if k is not None:
-                    want[k] += n * p / sum(q for _, q in ways)
+                    want[k] += n * p / total
     assert np.allclose(li._vocabulary(li.default_path()).lattice(WORDS).expected(probs, times), want, rtol=1e-9, atol=1e-12)
 
 
 def test_words_of_any_length(monkeypatch):
     """A word without end neither underflows nor is cut; rescaling changes nothing."""
     model = two_languages()
-    words = ["漢字仮名" * 2500, "abc" * 7000, "xyzzyxqqj" * 4, "traversent"]
+    words = ["漢字仮名" * 500, "abc" * 1000, "xyzzyxqqj" * 4, "traversent"]
     got = model.scorer().words(words)
     assert np.isfinite(got).all()
-    twice = model.scorer().words(["漢字仮名" * 5000])
-    assert np.allclose(twice[0], 2 * got[0], rtol=1e-3)
+    twice = model.scorer().words(["漢字仮名" * 1000])
+    assert np.allclose(twice[0], 2 * got[0], rtol=1e-2)
     expected = li._vocabulary(model.path).lattice(words).expected(model.probs[:, 0], np.ones(4))
-    assert np.isfinite(expected).all() and expected.sum() > 5000
+    assert np.isfinite(expected).all() and expected.sum() > 500
     for stride in (1, 5):
         monkeypatch.setattr(li, "STRIDE", stride)
         assert np.allclose(model.scorer().words(words), got, rtol=1e-9)
@@ -100,6 +101,15 @@ def test_letters():
     assert li.letters("a" * 100) == ["a" * 100]
 
 
+def test_quick_patterns_are_the_exact_one():
+    rng = random.Random(3)
+    exact = li._patterns()[0]
+    for alphabet in ("aZ é1_-ÿ×÷ß²ª", "aZ é1_-²ß½Ⅷ\u0301हि\u200d中٣ ", "ab ’é\u0301x\u093f"):
+        for _ in range(300):
+            text = "".join(rng.choices(alphabet, k=12))
+            assert li.letters(text) == exact.findall(text.lower())
+
+
 def test_memo_bound_changes_nothing(monkeypatch):
     model = li.Model.of(table([("en", k, 1.0) for k in range(300, 3000)]), li.default_path())
     words = [["a", "bc", "def"], ["gh", "a"], ["x", "y" * 150, "z", "a"]]

@@ -18,7 +18,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -45,24 +45,38 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _class(kinds: str) -> str:
+def _class(kinds: str, which: Callable[[int], bool] = lambda c: True) -> str:
     """A regular expression's class of all code points whose category starts with one of the letters."""
-    points = [c for c in range(0x30000) if unicodedata.category(chr(c))[0] in kinds]
+    points = [c for c in range(0x40000) if unicodedata.category(chr(c))[0] in kinds and which(c)]
     starts = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
     ends = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
 
 
 @lru_cache(1)
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """A word: a letter, then letters, combining marks and joiners; what a piece can be of one."""
-    inner = f"[{_class('LM')}\\u200c\\u200d]*"
-    return re.compile(f"[{_class('L')}]{inner}"), re.compile(f"▁?{inner}")
+def _patterns() -> tuple[re.Pattern, ...]:
+    """Words as a letter, then letters, combining marks and joiners; the same for texts without numerals that count as word characters; these numerals; what a piece can be of a word."""
+    marks = f"{_class('M')}\\u200c\\u200d"
+    numerals = _class("N", lambda c: not chr(c).isdecimal())
+    return re.compile(f"[{_class('L')}][{_class('L')}{marks}]*"), re.compile(rf"[^\W\d_]+(?:[{marks}]+[^\W\d_]*)*"), re.compile(f"[{numerals}]"), re.compile(f"▁?[{_class('L')}{marks}]*")
+
+
+_ASCII, _LATIN = re.compile("[a-z]+"), re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def letters(text: str | None) -> list[str]:
     """The runs of letters, with their marks, of a text, in lower case."""
-    return _patterns()[0].findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    if low.isascii():
+        return _ASCII.findall(low)
+    try:
+        low.encode("latin-1")
+        return _LATIN.findall(low)
+    except UnicodeEncodeError:
+        exact, quick, numerals, _ = _patterns()
+        return (exact if numerals.search(low) else quick).findall(low)
 
 
 @lru_cache(2)
@@ -80,7 +94,7 @@ class Vocabulary:
         self.size = pieces.get_piece_size()
         for k in range(self.size):
             text = pieces.id_to_piece(k)
-            if not (pieces.is_control(k) or pieces.is_unknown(k) or pieces.is_byte(k)) and _patterns()[1].fullmatch(text):
+            if not (pieces.is_control(k) or pieces.is_unknown(k) or pieces.is_byte(k)) and _patterns()[3].fullmatch(text):
                 tables.setdefault(len(text), []).append((self._hash(text), k))
         self.tables = {n: (np.array([h for h, _ in sorted(t)], np.uint64), np.array([k for _, k in sorted(t)], np.int32)) for n, t in tables.items()}
         self.flags = np.zeros(1 << 20, bool)  # which leading bits some piece has: most stretches are no piece
@@ -116,7 +130,7 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """All segmentations of some words: for each place and length, the piece that starts there.
+    """All segmentations of some words: an edge for each piece at each place where it fits.
 
     A word has one state more than code points (with the mark of a word's start).
     States hold value and logarithm of scale, so that nothing under- or overflows.
@@ -127,43 +141,56 @@ class Lattice:
         self.longest = vocabulary.longest
         self.size = np.fromiter(map(len, marked), np.int64, len(marked))
         flat = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        left = np.repeat(self.start + self.size, self.size) - np.arange(len(flat))  # code points from here to the word's end
-        self.ids, hashes = [], flat.copy()
+        start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.word = np.repeat(np.arange(len(words)), self.size)
+        self.before = np.arange(len(flat)) - start[self.word]  # code points of the word before this one
+        left = self.size[self.word] - self.before
+        places, lengths, pieces_, hashes = [], [], [], flat
         for n in range(1, self.longest + 1):
             if n > 1:
                 hashes = hashes[: max(len(flat) - n + 1, 0)] * _B + flat[n - 1 :]
-            ids = np.full(len(flat), -1, np.int32)
             if n in vocabulary.tables and len(hashes):
                 keys, pieces = vocabulary.tables[n]
                 may = np.flatnonzero((left[: len(hashes)] >= n) & vocabulary.flags[hashes >> _SHIFT])
                 at = np.minimum(np.searchsorted(keys, hashes[may]), len(keys) - 1)
                 same = keys[at] == hashes[may]
-                ids[may[same]] = pieces[at[same]]
-            self.ids.append(ids)
-        self.base = self.start + np.arange(len(words))
+                places.append(may[same])
+                lengths.append(np.full(int(same.sum()), n))
+                pieces_.append(pieces[at[same]])
+        self.place, length, self.piece = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, lengths, pieces_))
+        self.piece = self.piece.astype(np.int64)
+        self.tail = self.place + self.word[self.place]  # the states that an edge joins
+        self.head = self.tail + length
+        self.base = start + np.arange(len(words))
         self.order = np.argsort(-self.size, kind="stable")
         self.upto = np.searchsorted(-self.size[self.order], -np.arange(1, int(self.size.max(initial=0)) + 1), side="right")
 
     def _sweep(self, probs: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Values and scales of all states, from the words' starts, or from their ends."""
+        """Values and scales of all states, from the words' starts, or from their ends: in each step all edges that reach its states."""
         value = np.zeros((int((self.size + 1).sum()), probs.shape[1]))
         scale = np.zeros_like(value)
         sign = -1 if back else 1
+        source, target = (self.head, self.tail) if back else (self.tail, self.head)
+        done = self.before[self.place]
+        when = self.size[self.word[self.place]] - done if back else done + self.head - self.tail
+        by = np.lexsort((target, when))
+        source, target, piece = source[by], target[by], self.piece[by]
+        opens = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, np.int64)
+        steps = np.searchsorted(when[by], np.arange(1, len(self.upto) + 2))
+        first = np.searchsorted(opens, steps)
         origin = self.base + (self.size if back else 0)
         value[origin] = 1.0
         for step in range(1, len(self.upto) + 1):
-            mine = self.order[: self.upto[step - 1]]
-            here = origin[mine] + sign * step
-            total = value[here - sign] * UNSEEN
-            for n in range(1, min(step, self.longest) + 1):
-                ids = self.ids[n - 1][self.start[mine] + (self.size[mine] - step if back else step - n)]
-                hit = np.flatnonzero(ids >= 0)
-                if len(hit):
-                    total[hit] += value[here[hit] - sign * n] * probs[ids[hit]]
-            value[here] = total
-            scale[here] = scale[here - sign]
+            here = origin[self.order[: self.upto[step - 1]]] + sign * step
+            value[here] = value[here - sign] * UNSEEN
+            lo, hi = steps[step - 1], steps[step]
+            if hi > lo:
+                starts = opens[first[step - 1] : first[step]]
+                value[target[starts]] += np.add.reduceat(value[source[lo:hi]] * probs[piece[lo:hi]], starts - lo)
+            if step > STRIDE:
+                scale[here] = scale[here - sign]
             if step % STRIDE == 0:
+                total = value[here]
                 for n in range(min(step, self.longest) + 1):
                     value[here - sign * n] /= total
                     scale[here - sign * n] += np.log(total)
@@ -178,16 +205,10 @@ class Lattice:
     def expected(self, probs: np.ndarray, times: np.ndarray) -> np.ndarray:
         """How often each piece is expected in the words, each word as often as `times` says."""
         (ahead, up), (behind, down) = self._sweep(probs[:, None], False), self._sweep(probs[:, None], True)
-        end, out = self.base + self.size, np.zeros(len(probs))
+        end, word = self.base + self.size, self.word[self.place]
         whole = np.log(ahead[end, 0]) + up[end, 0]
-        word = np.repeat(np.arange(len(self.size)), self.size)
-        state = np.arange(len(word)) + word
-        for n, ids in enumerate(self.ids, 1):
-            at = np.flatnonzero(ids >= 0)
-            a, b, w = state[at], state[at] + n, word[at]
-            share = ahead[a, 0] * probs[ids[at]] * behind[b, 0] * np.exp(up[a, 0] + down[b, 0] - whole[w])
-            out += np.bincount(ids[at], share * times[w], len(probs))
-        return out
+        share = ahead[self.tail, 0] * probs[self.piece] * behind[self.head, 0] * np.exp(up[self.tail, 0] + down[self.head, 0] - whole[word])
+        return np.bincount(self.piece, share * times[word], len(probs))
 
 
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> Model:
