@@ -10,7 +10,7 @@ most its share of the edits, and the whole item is verified around it.
 
 Before they are embedded, windows that cannot be within the allowed edits are
 passed over: d edits of n words leave at least n - 1 - 2d of the item's word
-pairs in place, so a window with fewer pairs of any item is no match. Items of
+pairs in place, so a window with fewer pairs of items of that size is no match. Items of
 few words allow no edit and are found by the hash of all their words.
 """
 
@@ -35,7 +35,7 @@ TABLES, PLACES = 4, 3
 PIECE_WORDS = 60
 #: Items handled in one pass over the documents; more of them take more passes.
 ITEMS_A_PASS = 20_000
-_FLAGS = 1 << 22
+_FLAGS = 1 << 21
 _PAD = np.uint64(0x5851F42D4C957F2D)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -186,10 +186,7 @@ class Index:
         for k, w in enumerate(self.words):
             cuts = np.linspace(0, len(w), -(-len(w) // PIECE_WORDS) + 1).astype(int).tolist() if len(w) >= FUZZY else []
             self.pieces += [(k, lo, hi) for lo, hi in zip(cuts, cuts[1:])]
-        self.flags = np.zeros(_FLAGS, bool)
-        for w in self.words:
-            if len(w) >= FUZZY:
-                self.flags[self._pair(w)] = True
+        self.flags = np.zeros(_FLAGS, np.uint32)  # a bit for each group of sizes: which have such a word pair
         self.groups: list[Group] = []
         by_size = sorted((hi - lo, k) for k, (_, lo, hi) in enumerate(self.pieces))
         while by_size:
@@ -199,6 +196,8 @@ class Index:
             by_size = by_size[len(mine) :]
             plan = Plan.of(low, walks(high))
             parts = [self.words[item][lo:hi] for item, lo, hi in (self.pieces[k] for k in mine)]
+            for part in parts:
+                self.flags[self._pair(part)] |= np.uint32(1 << len(self.groups))
             stops = np.cumsum([len(w) for w in parts])
             made = embed_keys(np.concatenate(parts), np.concatenate([[0], stops[:-1]]), stops, plan)
             keys, owner = made.ravel(), np.repeat(np.array(mine), made.shape[1])
@@ -214,9 +213,11 @@ class Index:
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         best = self._search_short(words, row_of)
         looks: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        hits = np.flatnonzero(self.flags[self._pair(words)] & (row_of[1:] == row_of[:-1])) if len(words) > 1 and self.groups else np.zeros(0, np.int64)
-        for group in self.groups:
-            for piece, start in self._candidates(group, words, first, row_of, hits):
+        flags = self.flags[self._pair(words)] * (row_of[1:] == row_of[:-1]) if len(words) > 1 and self.groups else np.zeros(0, np.uint32)
+        hits = np.flatnonzero(flags)
+        flags = flags[hits]
+        for k, group in enumerate(self.groups):
+            for piece, start in self._candidates(group, words, first, row_of, hits[(flags >> np.uint32(k) & np.uint32(1)).astype(bool)]):
                 item, begin, _ = self.pieces[piece]
                 n, row = len(self.words[item]), int(row_of[start])
                 slack = 2 * edits_allowed(n)
